@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtflow.llm import bpe, classifier, html_text, media, sharding, warc
+from adtflow.llm import bpe, classifier, decontamination, html_text, jaccard, media, sharding, warc
 from adtflow.llm.shared import table
 
 #: The quality from which a document counts as good.
@@ -42,12 +42,20 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_quality_classifier, op4_bpe_codec, op6_media_columns, op9_warc)
+    f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_quality_classifier, op4_bpe_codec, op6_media_columns, op7_ngram_jaccard, op9_warc, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,11 +68,34 @@ c AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::
 p AS (SELECT doc_id, size, text_crc32, sum(size) OVER (ORDER BY doc_id, text_crc32) AS e, sum(size) OVER () AS total FROM c),
 q AS (SELECT *, ((2 * e - size) * 40 // (2 * total))::INTEGER AS shard FROM p)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM q
+""",
+    "op7_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * o >= 85 * (n + m - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON s.doc_id = c.x
 """,
     "op9_warc": """
 SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest,
   CASE WHEN octet_length(encode(h)) >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN octet_length(encode(h)) >= 1000 AND page_id <> m THEN m END AS refers_to
 FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
+""",
+    # the definition without seeds: every diagonal with three words in a row in common
+    "op10_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dg AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+bg AS (SELECT item_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+c AS (SELECT doc_id, item_id, dg.i - bg.i AS k FROM dg JOIN bg USING (g) GROUP BY ALL),
+m AS (SELECT c.doc_id, c.item_id, len(b.w) AS n, list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN k + j >= 1 AND d.w[k + j] = b.w[j] THEN 1 ELSE 0 END) AS m
+  FROM c JOIN d USING (doc_id) JOIN b USING (item_id)),
+x AS (SELECT doc_id, item_id, n, list_sum(m) AS matched, list_max(list_transform(range(1, n - least(n, 13) + 2), lambda s: list_sum(m[s:s + least(n, 13) - 1]))) / least(n, 13) AS similarity FROM m)
+SELECT doc_id, item_id, n::INTEGER AS n_words, max(matched)::INTEGER AS matched, max(similarity) AS similarity FROM x WHERE similarity >= 0.8 GROUP BY doc_id, item_id, n
 """,
 }
