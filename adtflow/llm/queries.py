@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtflow.llm import bpe, classifier, decontamination, html_text, jaccard, media, sharding, warc
+from adtflow.llm import bpe, classifier, decontamination, html_text, jaccard, licenses, media, pii, sharding, warc
 from adtflow.llm.shared import table
 
 #: The quality from which a document counts as good.
@@ -38,6 +38,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -55,7 +63,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_quality_classifier, op4_bpe_codec, op6_media_columns, op7_ngram_jaccard, op9_warc, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_html_extraction,
+        op3_quality_classifier,
+        op4_bpe_codec,
+        op5_license_scan,
+        op6_media_columns,
+        op7_ngram_jaccard,
+        op8_pii,
+        op9_warc,
+        op10_decontamination,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
