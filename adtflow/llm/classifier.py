@@ -170,18 +170,20 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from rows of labels that aren't held out; at most sample_rows of them reach the driver.
+    """A model from rows of labels that aren't held out; at most sample_rows of them are taken and reach the driver.
 
-    Null ids and labels are left out; an id that occurs several times counts once for each row.
+    The rows are chosen among the labels alone, so that only the chosen documents' texts move. Null ids and labels are left out,
+    as are labels without a document; an id that occurs several times counts once for each row.
     """
-    known = (
-        labels.filter(F.col(label).isNotNull() & ~held_out(F.col(id_col)))
+    chosen = (
+        labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
-        .join(documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).filter("id is not null"), "id")
-        .orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("text"))
+        .orderBy(F.xxhash64("id"), "id", "y")
         .limit(sample_rows)
-        .toArrow()
     )
+    # safe to broadcast: sample_rows rows at most
+    known = documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id").toArrow()
+    known = known.sort_by([("id", "ascending"), ("y", "ascending")])
     return train(known["text"].to_pylist(), known["y"].to_pylist())
 
 
