@@ -21,9 +21,9 @@ from adtflow.llm.shared import map_arrow
 #: Fixed value: how this vocabulary's pre-tokeniser splits text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept between batches in a Python worker; beyond it the memory is emptied, which costs time only.
-KEPT_WORDS = 250_000
-#: Longer words are encoded but not kept.
-KEPT_BYTES = 64
+KEPT_WORDS = 500_000
+#: Longer words, in characters, are encoded but not kept.
+KEPT_LENGTH = 48
 
 
 def _byte_characters() -> dict[str, int]:
@@ -67,7 +67,8 @@ class Codec:
         self._split = regex.compile(SPLIT)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._special_bytes = {i: s.encode() for s, i in self.special.items()}
-        self._known: dict[str, tuple[str, int, bytes]] = {}
+        self._ids: dict[str, str] = {}
+        self._back: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The definition itself: merges the pair of the lowest rank, leftmost first. For the few bytes of one token only."""
@@ -155,28 +156,32 @@ class Codec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, SHA-256 of the ids in decimal and commas, SHA-256 of the decoded text."""
         split = [self.pieces(t) for t in texts]
-        known = self._known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = {w for pieces in split for words in pieces[::2] for w in words if w not in known}
+        if len(self._ids) > KEPT_WORDS:
+            self._ids.clear()
+            self._back.clear()
+        known_ids, known_back = self._ids, self._back
+        new = set().union(*(words for pieces in split for words in pieces[::2])).difference(known_ids)
         raw = {w.encode(): w for w in new}
-        long = []
         for b, ids in self.encode_words(raw).items():
-            known[raw[b]] = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
-            if len(b) > KEPT_BYTES:
-                long.append(raw[b])
+            w = raw[b]
+            known_ids[w] = ",".join(map(str, ids))
+            known_back[w] = b"".join(map(self.bytes_of.__getitem__, ids))
         out = []
         for pieces in split:
-            rows = []
+            text, back = [], []
             for i, words in enumerate(pieces):
-                rows += [(str(self.special[words[0]]), 1, words[0].encode())] if i % 2 else map(known.__getitem__, words)
-            text, n, back = zip(*rows) if rows else ((), (), ())
-            joined = b"".join(back)
-            # whole words of valid UTF-8 need no repair; a token sequence decoded on its own may
-            decoded = joined.decode("utf-8", "replace").encode()
-            out.append((sum(n), hashlib.sha256(",".join(text).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        for w in long:
-            del known[w]
+                if i % 2:
+                    text.append(str(self.special[words[0]]))
+                    back.append(words[0].encode())
+                elif words:
+                    text.append(",".join(map(known_ids.__getitem__, words)))
+                    back.append(b"".join(map(known_back.__getitem__, words)))
+            ids = ",".join(text)
+            decoded = b"".join(back).decode("utf-8", "replace").encode()
+            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del known_ids[w], known_back[w]
         return out
 
 
