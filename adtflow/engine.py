@@ -16,6 +16,7 @@ from adtflow.lang.parser import parse
 from adtflow.operators import paging
 from adtflow.plans.expressions import Binder, column
 from adtflow.plans.pipeline import Lowering, PageInfo, Plan, Source
+from adtflow.shipping import ship_package
 from adtflow.sources.files import from_frame, from_parquet
 from adtflow.types import Registry, Type
 
@@ -86,6 +87,7 @@ class Prepared:
 class Engine:
     def __init__(self, spark: SparkSession, secret: bytes = b"adtflow"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self.spark, self.secret = spark, secret
         self.registry = Registry()
         self.sources: dict[str, Source] = {}

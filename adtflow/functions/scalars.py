@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adtflow.errors import QueryError
 from adtflow.functions import arithmetic as A
@@ -74,7 +75,7 @@ def _trim(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _float_text(x: pd.Series) -> pd.Series:
     """The shortest text that reads back as the same float, with a point or an exponent."""
 

@@ -137,9 +137,9 @@ class Registry:
             inner = self.resolve(t.of)
             return T.StructType([T.StructField("v", self.spark(inner), True)]) if isinstance(inner, Option) else self.spark(inner)
         if isinstance(t, List):
-            return T.ArrayType(self.spark(t.of), isinstance(self.resolve(t.of), Option))
+            return T.ArrayType(self.spark(t.of), True)  # Spark can't cast an array to one that promises no nulls
         if isinstance(t, Map):
-            return T.ArrayType(T.StructType([T.StructField("key", T.StringType(), False), T.StructField("value", self.spark(t.of), True)]), False)
+            return T.ArrayType(T.StructType([T.StructField("key", T.StringType(), False), T.StructField("value", self.spark(t.of), True)]), True)
         if isinstance(t, Tuple):
             return T.StructType([T.StructField(f"_{i + 1}", self.spark(x), True) for i, x in enumerate(t.items)])
         if isinstance(t, Record):
