@@ -7,6 +7,8 @@ equality and order of structs and arrays are those of the algebra.
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -154,7 +156,7 @@ class Registry:
         Enums are (variant name, payload) with a dict or tuple as payload; None is an empty option, Some values of nested options
         are wrapped as ('Some', value); records are dicts, whose missing fields take their defaults.
         """
-        t = self.resolve(t)
+        name, t = t, self.resolve(t)
         if isinstance(t, Option):
             if value is None:
                 return None
@@ -173,6 +175,10 @@ class Registry:
                 raise QueryError("E_TYPE", f"{t!r} has {len(t.items)} items")
             return tuple(self.encode(x, v) for x, v in zip(t.items, value))
         if isinstance(t, Record):
+            if isinstance(value, tuple) and len(value) == 2 and value[0] == show(name):
+                value = value[1]
+            if not isinstance(value, dict):
+                raise QueryError("E_TYPE", f"{value!r} is no {show(name)}")
             if unknown := set(value) - {f.name for f in t.fields}:
                 raise QueryError("E_TYPE", f"unknown field {sorted(unknown)[0]}")
             out = []
@@ -187,10 +193,12 @@ class Registry:
             if at is None:
                 raise QueryError("E_TYPE", f"unknown variant {name}")
             own = t.variants[at]
+            if payload is None and isinstance(own.payload, Record) and all(f.has_default for f in own.payload.fields):
+                payload = {}
             if (payload is None) != (own.payload is None):
                 raise QueryError("E_TYPE", f"variant {name} takes {'no' if own.payload is None else 'a'} payload")
             return (at, *(self.encode(v.payload, payload) if v is own else None for v in t.variants if v.payload is not None))
-        return value
+        return scalar_value(t, value)
 
     def decode(self, t: Type, value: Any) -> Any:
         """The inverse of encode for collected values."""
@@ -216,6 +224,29 @@ class Registry:
         return value
 
 
+def scalar_value(t: Type, value: Any) -> Any:
+    """value as a scalar type holds it; integers fit floats and decimals where nothing is lost."""
+    if isinstance(t, Decimal) and type(value) in (int, decimal.Decimal):
+        out = decimal.Decimal(value)
+        with decimal.localcontext(prec=100):
+            fitted = out.quantize(decimal.Decimal(1).scaleb(-t.scale))
+            if fitted == out and abs(out) < decimal.Decimal(10) ** (t.precision - t.scale):
+                return fitted
+    elif t == FLOAT and type(value) in (int, float) and value == value and abs(value) != float("inf") and float(value) == value:
+        return float(value) + 0.0
+    elif t == INT and type(value) is int and -(2**63) <= value < 2**63:
+        return value
+    elif t == TIMESTAMP and type(value) is dt.datetime:
+        return value if value.tzinfo is None else value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    elif t == UUID and type(value) is str:
+        return value.lower()
+    elif t == BYTES and isinstance(value, (bytes, bytearray)):
+        return bytearray(value)
+    elif isinstance(t, Scalar) and type(value) is {"bool": bool, "text": str, "date": dt.date, "duration": dt.timedelta}.get(t.name):
+        return value
+    raise QueryError("E_TYPE", f"{value!r} is no {t!r}")
+
+
 _SPARK = {
     "int": T.LongType(),
     "float": T.DoubleType(),
