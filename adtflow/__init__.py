@@ -1,0 +1 @@
+"""A typed pipeline query language over Spark DataFrames."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def _sum(r: Registry, x: Typed) -> Typed:
     if own == DURATION:
         # summed as decimals: partial sums can't overflow, and the end result is checked
         total = F.coalesce(F.sum(micros(x.col).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
-        return Typed(x.type, interval(A.checked(F.abs(total) < F.lit(2**63).cast("decimal(38,0)"), "E_ARITH: the duration is out of range", total.cast("long"))))
+        return Typed(x.type, interval(A.checked(F.abs(total) < F.lit(decimal.Decimal(2**63)).cast("decimal(38,0)"), "E_ARITH: the duration is out of range", total.cast("long"))))
     if isinstance(own, Decimal):
         total = F.coalesce(F.sum(x.col), F.lit(0).cast(T.DecimalType(own.precision, own.scale)))
         return Typed(x.type, A.cast_decimal(total, own))

@@ -65,7 +65,7 @@ def beyond(keys: list[tuple[Column, Column, bool]], after: bool) -> Column:
     """
     test: Column | None = None
     for value, bound, down in reversed(keys):
-        v, b = F.struct(value), F.struct(bound)
+        v, b = F.struct(value.alias("v")), F.struct(bound.alias("v"))
         ahead = v > b if after != down else v < b
         test = ahead if test is None else ahead | (value.eqNullSafe(bound) & test)
     assert test is not None

@@ -381,7 +381,7 @@ class Binder:
         if op in ("==", "!="):
             same = a.col == b.col if plain else a.col.eqNullSafe(b.col)
             return same if op == "==" else ~same
-        x, y = (a.col, b.col) if plain else (F.struct(a.col), F.struct(b.col))
+        x, y = (a.col, b.col) if plain else (F.struct(a.col.alias("v")), F.struct(b.col.alias("v")))
         return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
     def arithmetic(self, n: N.Binary, s: Scope, want: Type | None) -> Typed:

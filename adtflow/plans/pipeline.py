@@ -194,6 +194,7 @@ class Lowering:
                 col, t, name = self.field(f, plan, s)
             cols.append(col.alias(name))
             columns[name] = t
+        cols += [column(f"__key{i}") for i in range(len(plan.page.keys) if plan.page else 0)]  # for the cursors
         return replace(plan, frame=plan.frame.select(*cols), columns=columns)
 
     def _sort(self, n: N.Sort, plan: Plan, s: Scope, state: dict) -> Plan:
