@@ -108,6 +108,32 @@ class Rebuild:
         return F.struct(tag.otherwise(F.raise_error(F.lit("E_MIGRATION: a row holds a dropped variant"))).alias("tag"), *slots)
 
 
+def _carried(t: Record, owner: str, r: Registry, e: Edits) -> Record:
+    """t with the defaults that it had before written in the new names of fields and variants."""
+
+    def value(v: Any, t: Type) -> Any:
+        name = t.name if isinstance(t, Named) else ""
+        own = r.resolve(t)
+        if isinstance(own, Option):
+            return v if v is None else ("Some", value(v[1], own.of)) if isinstance(v, tuple) and v[0] == "Some" else value(v, own.of)
+        if isinstance(own, List) and isinstance(v, list):
+            return [value(x, own.of) for x in v]
+        if isinstance(own, Tuple) and isinstance(v, tuple):
+            return tuple(value(x, k) for x, k in zip(v, own.items))
+        if isinstance(own, Record):
+            v = v[1] if isinstance(v, tuple) else v
+            sources = {f.name: e.fields.get((name, f.name), f.name) for f in own.fields}
+            return {f.name: value(v[sources[f.name]], f.type) for f in own.fields if sources[f.name] in v}
+        if isinstance(own, Enum):
+            was, payload = v if isinstance(v, tuple) else (v, None)
+            to = next((x for x in own.variants if e.variants.get((name, x.name), x.name) == was), None)
+            return v if to is None else to.name if payload is None or to.payload is None else (to.name, value(payload, to.payload))
+        return v
+
+    old = lambda f: f.has_default and e.fields.get((owner, f.name)) != ""
+    return Record(tuple(replace(f, default=value(f.default, f.type)) if old(f) else f for f in t.fields))
+
+
 def _renamed(t: Type, old: str, new: str) -> Type:
     """t with the type old called new."""
     if isinstance(t, Named):
@@ -244,6 +270,12 @@ def apply(work: Any, n: N.Migration) -> None:
             raise QueryError("E_MIGRATION", f"unknown step {what}", n.place)
 
     new = work.registry()
+    for owner, t in types.items():
+        if isinstance(t, Record):
+            types[owner] = _carried(t, owner, new, edits)
+        elif isinstance(t, Enum):
+            types[owner] = Enum(tuple(replace(v, payload=_carried(v.payload, "", new, edits)) if isinstance(v.payload, Record) else v for v in t.variants))
+    new = work.registry()
     rebuild = Rebuild(old, new, edits)
     for name, t in state.tables.items():
         if name not in origin:
