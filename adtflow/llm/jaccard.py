@@ -7,13 +7,16 @@ overlap with the union is large enough; only such groups are opened, and their m
  1. Documents with equal sets form one class; the rest works on classes.
  2. Any two similar sets share one of their first n - ceil(t n) + 1 tokens in any common order of tokens. The order used has the
     tokens that few documents hold first, so that common passages index nothing; tokens of a single document are counted but never
-    stored. Documents whose first tokens are all their own are done.
- 3. Among the holders of a token the least edited one is the leader. Documents that are similar to their best leader form its group.
+    stored. Documents whose first tokens are all their own are done. Holders of a token that many index get a second order, of all
+    their tokens among these holders alone; two similar sets that share only such tokens are both among them.
+ 3. Among the holders of a token the one with the fewest rarer tokens is the leader. Documents that are similar to their best leader form its group.
  4. The matrix of indexed tokens and groups gives the groups that a document may reach; sizes, positions and then the overlap with
-    the group's union bound what it can find there. Members of the groups left are compared.
+    the group's union bound what it can find there. Of a group left, the leader is compared, and where that makes no link between
+    the two groups, every member.
  5. Connected components of all links found.
 
-The counts of step 2 are taken on a fixed share of the hash space (the tokens that make up nearly all indexes), over all documents.
+The first counts of step 2 are taken on a fixed share of the hash space (the tokens that make up nearly all indexes), over all
+documents.
 """
 
 from __future__ import annotations
@@ -30,7 +33,11 @@ from adtflow.llm.components import connected_components
 from adtflow.llm.shared import map_arrow, stored, text_or_empty
 
 #: Hash buckets of texts that are needed again; a text outside them isn't shuffled.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: A token that more documents than this index is hot; its holders are compared through the second order of tokens.
+HOT = 64
+#: Sets the second order's lists apart from the first's.
+SECOND = 0x2545F4914F6CDD1D
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -139,6 +146,7 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
         "sets",
     )
     key = ["d1", "d2", "n"]
+    length = F.expr(f"n - ((n * {percent} + 99) div 100) + 1")
     classes = stored(
         sets.filter("n > 0").groupBy(*key).agg(F.min(F.struct("r", "doc_id", "h", "first")).alias("c"), F.min("doc_id").alias("low")).select(*key, "c.*", "low"), "classes"
     )
@@ -156,12 +164,43 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     rank = F.row_number().over(mine.orderBy("rest", "df", "t"))
     own = F.col("first") - F.sum(1 - F.col("rest")).over(mine)  # first-class tokens of this document alone
     placed = shared.withColumn("own", own).withColumn("pos", F.when(F.col("rest") == 0, F.col("own") + rank - 1).otherwise(F.col("first")))
-    placed = placed.filter(F.col("pos") < F.expr(f"n - ((n * {percent} + 99) div 100) + 1"))
-    index = stored(placed.select("t", "r", "n", "pos", (F.col("own") * 1000 / F.greatest("first", F.lit(1))).cast("int").alias("edits")), "index")
+    index = stored(placed.filter(F.col("pos") < length).select("t", "r", "n", "pos"), "index")
 
-    # leaders, and the best of each document's
-    leaders = index.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("edits", "r", "n", "pos")).alias("l")).filter("c > 1")
+    # documents with a token that many index, and those that may be similar to one that shares a rarer token, by sizes and positions
     near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    lists = index.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    hot = lists.filter(F.col("c") > HOT).select("t")
+    busy = stored(index.join(hot, "t", "left_semi").select("r").distinct(), "busy")
+    one = index.join(lists.filter(F.col("c") <= HOT).select("t"), "t", "left_semi")
+    two = one.select("t", F.col("r").alias("s"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    met = one.join(two, "t").filter(
+        (F.col("r") < F.col("s")) & near(F.col("n"), F.col("m")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= _least_overlap(F.col("n"), F.col("m"), percent))
+    )
+    alive = stored(met.select(F.explode(F.array("r", "s")).alias("r")).unionByName(busy).distinct(), "alive")
+    index = stored(index.join(hot, "t", "left_anti").join(alive, "r"), "index")
+
+    # their whole sets, from their texts
+    needed = stored(alive.join(classes.select("r", "doc_id", "h"), "r").select("r", "doc_id", "h"), "needed")
+    bucket = F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")
+    # safe to broadcast: at most BUCKETS numbers
+    some = source.withColumn("bucket", bucket).join(F.broadcast(needed.select(bucket).distinct()), "bucket", "left_semi")
+    wanted = needed.select("r", F.col("doc_id").alias("wanted_id"), F.col("h").alias("wanted_h"))
+    same = (F.col("h") == F.col("wanted_h")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    texts = some.join(wanted, same).select("r", "text").dropDuplicates(["r"])
+    tokens = stored(map_arrow(texts, partial(_full, k=k), "r long, tokens array<long>"), "tokens")
+
+    # documents with a token that many index: all their tokens are ordered anew, rarest among these documents first
+    whole = tokens.join(busy, "r", "left_semi").select("r", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("t"))
+    whole = stored(whole, "whole")
+    again = whole.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    again = whole.join(again, "t").withColumn("own", F.col("n") - F.count(F.lit(1)).over(mine))
+    again = again.withColumn("pos", F.col("own") + F.row_number().over(mine.orderBy("df", "t")) - 1).filter(F.col("pos") < length)
+    # lists of their own, apart from those of the first order
+    index = index.unionByName(again.select(F.col("t").bitwiseXOR(F.lit(SECOND)).alias("t"), "r", "n", "pos"))
+    index = stored(index, "second")
+
+    # leaders, those with the fewest rarer tokens, and the best of each document's
+    leaders = index.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "r", "n")).alias("l")).filter("c > 1")
     n, m = F.col("n"), F.col("l.n")
     best = (
         index.join(leaders, "t")
@@ -175,26 +214,14 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     )
     best = stored(best, "leaders")
 
-    # whole sets of the documents that hold an indexed token with others, from their texts
-    needed = stored(
-        index.join(leaders.select("t"), "t", "left_semi").select("r").distinct().join(classes.select("r", "doc_id", "h"), "r").select("r", "doc_id", "h"), "needed"
-    )
-    bucket = F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")
-    # safe to broadcast: at most BUCKETS numbers
-    some = source.withColumn("bucket", bucket).join(F.broadcast(needed.select(bucket).distinct()), "bucket", "left_semi")
-    wanted = needed.select("r", F.col("doc_id").alias("wanted_id"), F.col("h").alias("wanted_h"))
-    same = (F.col("h") == F.col("wanted_h")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    texts = some.join(wanted, same).select("r", "text").dropDuplicates(["r"])
-    tokens = stored(map_arrow(texts, partial(_full, k=k), "r long, tokens array<long>"), "tokens")
-
     stars = stored(_verified(best, tokens, percent), "stars")
 
     # groups: a document's leader, or that one's leader
     up = stars.select(F.col("a").alias("b"), F.col("b").alias("above"))
     groups = stars.join(up, "b", "left").select(F.col("a").alias("r"), F.coalesce("above", "b").alias("g"))
-    listed = index.join(groups, "r", "left").withColumn("g", F.coalesce("g", "r"))
-    sizes = listed.select("r", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    listed = stored(listed.join(sizes, "g"), "listed")
+    groups = stored(index.select("r", "n").distinct().join(groups, "r", "left").withColumn("g", F.coalesce("g", "r")), "groups")
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    listed = stored(index.join(groups.join(sizes, "g").drop("n"), "r"), "listed")
 
     # the matrix, where a token has several groups
     cells = listed.groupBy("t", "g", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
@@ -214,15 +241,20 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     reach = stored(reach, "reach")
 
     # overlap with the union of each larger group's tokens
+    member = groups.select(F.col("g").alias("to"), F.col("r").alias("s"), F.col("n").alias("ns"))
     many = reach.filter("to_members > 1")
-    member = listed.select(F.col("g").alias("to"), F.col("r").alias("s"), F.col("n").alias("ns")).distinct()
     asked = member.join(many.select("to").distinct(), "to", "left_semi")
     union = asked.join(tokens.withColumnRenamed("r", "s"), "s").select("to", F.explode("tokens").alias("t")).distinct()
     held = many.join(tokens, "r").select("r", "n", "to", "least", F.explode("tokens").alias("t")).join(union, ["to", "t"])
     opened = held.groupBy("r", "n", "to", "least").agg(F.count(F.lit(1)).alias("o")).filter(F.col("o") >= _least_overlap(F.col("n"), floor, percent))
-    inside = opened.join(member, "to").filter(near(F.col("n"), F.col("ns"))).select(F.col("r").alias("a"), F.col("s").alias("b"))
-    alone = reach.filter("to_members = 1").select(F.col("r").alias("a"), F.col("to").alias("b"))
-    links = stars.unionByName(_verified(alone.unionByName(inside), tokens, percent))
+    # first the group's own leader (a group of one is its leader); a group's members are linked, so that one link to it is enough
+    first = opened.select("r", "to").unionByName(reach.filter("to_members = 1").select("r", "to")).select(F.col("r").alias("a"), F.col("to").alias("b"))
+    first = stored(_verified(first, tokens, percent), "first")
+    own_group = groups.select("r", "g")
+    met = first.join(own_group.withColumnRenamed("r", "a"), "a").select("g", F.col("b").alias("to")).distinct()
+    rest = opened.join(own_group, "r").join(met, ["g", "to"], "left_anti").join(member, "to")
+    rest = rest.filter(near(F.col("n"), F.col("ns")) & (F.col("s") != F.col("to"))).select(F.col("r").alias("a"), F.col("s").alias("b"))
+    links = stars.unionByName(first).unionByName(_verified(rest, tokens, percent))
 
     roots = connected_components(links)
     linked = classes.join(roots.withColumnRenamed("node", "r"), "r", "left").withColumn("root", F.coalesce("root", "r"))
