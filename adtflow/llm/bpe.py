@@ -21,7 +21,9 @@ from adtflow.llm.shared import map_arrow
 #: Fixed value: how this vocabulary's pre-tokeniser splits text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept between batches in a Python worker; beyond it the memory is emptied, which costs time only.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
+#: Pairs of tokens whose seam is remembered.
+KEPT_PAIRS = 400_000
 #: Longer words, in characters, are encoded but not kept.
 KEPT_LENGTH = 48
 
@@ -96,7 +98,7 @@ class Codec:
         if known is None:
             rank = self.rank.get
             known = not any((n := rank((x, y))) is not None and n < x_until and n <= y_until for x, x_until in self._right[a] for y, y_until in self._left[b])
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > KEPT_PAIRS:
                 self._apart.clear()
             self._apart[key] = known
         return known
