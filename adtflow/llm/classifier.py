@@ -24,7 +24,7 @@ WIDTH = 10
 #: Lengths of character n-grams, in bytes.
 NGRAMS = (3, 4, 5)
 #: The classifier is fitted on at most this many labelled rows, those whose ids have the smallest hashes.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 EPOCHS = 6
 RATE = 0.5
 #: Bytes that are hashed at a time; a longer text is cut at white space, over which no n-gram reaches.
@@ -144,20 +144,23 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         mean = min(max(float(y.mean()) if len(y) else 0.5, 0.001), 0.999)
         return Model(np.zeros(BUCKETS), float(np.log(mean / (1 - mean))))
     rng = np.random.default_rng(seed)
-    rows = [features(t) for t in texts]
+    # kept in three long arrays, not in thousands of short ones
+    parts = [(ids, (counts / max(1, counts.sum())).astype(np.float32)) for ids, counts in map(features, texts)]
+    ends = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+    all_ids, all_shares = np.concatenate([ids for ids, _ in parts]), np.concatenate([share for _, share in parts])
+    del parts
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
     layer[1] = rng.uniform(0.5, 1, WIDTH)
     layer[0] = -layer[1]
-    steps, done = EPOCHS * len(rows), 0
+    steps, done = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(texts)):
             rate = RATE * (1 - done / steps)
             done += 1
-            ids, counts = rows[i]
+            ids, share = all_ids[ends[i] : ends[i + 1]], all_shares[ends[i] : ends[i + 1]]
             if not len(ids):
                 continue
-            share = (counts / counts.sum()).astype(np.float32)
             mean = share @ vectors[ids]
             z = layer @ mean + bias
             e = np.exp(z - z.max())
