@@ -88,6 +88,17 @@ c AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::
 p AS (SELECT doc_id, size, text_crc32, sum(size) OVER (ORDER BY doc_id, text_crc32) AS e, sum(size) OVER () AS total FROM c),
 q AS (SELECT *, ((2 * e - size) * 40 // (2 * total))::INTEGER AS shard FROM p)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM q
+""",
+    # the WAV form in hexadecimal: a header with two lengths in little-endian bytes, then the padded text
+    "op6_media_columns": """
+WITH t AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+s AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+p AS (SELECT doc_id, n_bytes, CASE WHEN n_bytes = 0 THEN 64 ELSE (n_bytes + 63) // 64 * 64 END AS n, b FROM s),
+h AS (SELECT doc_id, n_bytes, n, hex(b) || repeat('00', (n - n_bytes)::BIGINT) AS h, printf('%08X', n) AS a, printf('%08X', n + 36) AS r FROM p),
+m AS (SELECT *, '52494646' || r[7:8] || r[5:6] || r[3:4] || r[1:2] || '57415645666D742010000000' || '01000100401F0000401F000001000800' || '64617461' || a[7:8] || a[5:6] || a[3:4] || a[1:2] || h AS w FROM h)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 64), lambda i: ('0x' || substr(h, 2 * n - 127 + 2 * i, 2))::BIGINT)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) AS tail_crc32,
+  n + 44 AS media_bytes, sha256(unhex(w)) AS media_sha256, 'type=audio/wav;corrected=1;body=44;embedded=0' AS feature FROM m, t
 """,
     "op7_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
