@@ -236,7 +236,7 @@ def _get(r: Registry, m: Typed, k: Typed) -> Typed:
     return Typed(Option(t.of), F.when(at.isNotNull(), F.struct(at["value"].alias("v"))) if isinstance(inner, Option) else at["value"])
 
 
-#: By name; arguments of any type are checked by the builder.
+# The language's function names. Arguments of any type are checked by the builder.
 FUNCTIONS: dict[str, Function] = {
     "length": Function((None,), _length),
     "lower": Function((TEXT,), _of(TEXT, F.lower)),
