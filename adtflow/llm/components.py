@@ -32,10 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges do no harm; null ends are left out. Rounds grow with the logarithm of the longest path, and each is
     written to the shared folder.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", compact=True)
     mark = None
     while True:
-        now = stored(_small_star(_large_star(now)).filter("a <> b").distinct(), "edges")
+        now = stored(_small_star(_large_star(now)).filter("a <> b").distinct(), "edges", compact=True)
         # a sum over the edges that only a fixed point repeats
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == mark:

@@ -59,12 +59,12 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = lambda t: F.transform(words(t), lambda w: F.xxhash64(w))
     docs = source.select("doc_id", "h", hashed(F.col("text")).alias("w"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), hashed(text_or_empty(item_text_col)).alias("w")).filter(F.size("w") > 0).distinct()
-    items = stored(items, "items")
+    items = stored(items, "items", compact=True)
     short = sorted(r[0] for r in items.filter(F.size("w") < SPAN).select(F.size("w")).distinct().collect())  # fewer than SPAN numbers
 
     hits = None
     for masks, chosen in [(MASKS, items.filter(F.size("w") >= SPAN)), *((("1" * n,), items.filter(F.size("w") == n)) for n in short)]:
-        seeds = stored(_windows(chosen, masks, ["item_id"]).distinct(), "seeds")
+        seeds = stored(_windows(chosen, masks, ["item_id"]).distinct(), "seeds", compact=True)
         n = seeds.count()
         if not n:
             continue
@@ -76,7 +76,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if hits is None:
         hits = docs.limit(0).select("doc_id", "h", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("diagonal"))
     # a document's diagonals are fewer than its words
-    hits = stored(hits.groupBy("doc_id", "h", "item_id").agg(F.collect_set("diagonal").alias("diagonals")), "hits")
+    hits = stored(hits.groupBy("doc_id", "h", "item_id").agg(F.collect_set("diagonal").alias("diagonals")), "hits", compact=True)
 
     bucket = F.col("h").bitwiseAND(BUCKETS - 1)
     # safe to broadcast: at most BUCKETS numbers

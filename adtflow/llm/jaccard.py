@@ -34,6 +34,8 @@ from adtflow.llm.shared import map_arrow, stored, text_or_empty
 
 #: Hash buckets of texts that are needed again; a text outside them isn't shuffled.
 BUCKETS = 1 << 20
+#: Pairs are broadcast up to this many (16 bytes each).
+BROADCAST_PAIRS = 1_000_000
 #: A token that more documents than this index is hot; its holders are compared through the second order of tokens.
 HOT = 64
 #: Sets the second order's lists apart from the first's.
@@ -117,13 +119,21 @@ def _least_overlap(n: F.Column, m: F.Column, percent: int) -> F.Column:
     return F.ceil((percent * (n + m)) / F.lit(100 + percent) - 1e-9)
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The similar ones of pairs (a, b)."""
+def _verified(pairs: DataFrame, tokens: DataFrame, percent: int, label: str) -> DataFrame:
+    """The similar ones of pairs (a, b), stored.
+
+    Pairs of a checked number are broadcast to the sets, so that only sets in pairs move; beyond it all sets are shuffled by id, the
+    leaders' first, as b may be the leader of many and the rows that meet it are still short.
+    """
+    pairs = stored(pairs, f"{label}_pairs", compact=True)
     one = tokens.select(F.col("r").alias("a"), F.col("tokens").alias("ta"))
     two = tokens.select(F.col("r").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(two, "b").join(one, "a")  # b may be a leader of many: the rows that meet it are still short
+    if pairs.count() <= BROADCAST_PAIRS:
+        both = one.join(F.broadcast(pairs), "a").join(two.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        both = pairs.join(two, "b").join(one, "a")
     overlap = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return both.filter(_similar(overlap, F.size("ta").cast("long"), F.size("tb").cast("long"), percent)).select("a", "b")
+    return stored(both.filter(_similar(overlap, F.size("ta").cast("long"), F.size("tb").cast("long"), percent)).select("a", "b"), label, compact=True)
 
 
 def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +158,7 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     key = ["d1", "d2", "n"]
     length = F.expr(f"n - ((n * {percent} + 99) div 100) + 1")
     classes = stored(
-        sets.filter("n > 0").groupBy(*key).agg(F.min(F.struct("r", "doc_id", "h", "first")).alias("c"), F.min("doc_id").alias("low")).select(*key, "c.*", "low"), "classes"
+        sets.filter("n > 0").groupBy(*key).agg(F.min(F.struct("r", "doc_id", "h", "first")).alias("c"), F.min("doc_id").alias("low")).select(*key, "c.*", "low"), "classes", compact=True
     )
 
     # tokens that some other document holds too, with how many do
@@ -170,17 +180,17 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     lists = index.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     hot = lists.filter(F.col("c") > HOT).select("t")
-    busy = stored(index.join(hot, "t", "left_semi").select("r").distinct(), "busy")
+    busy = stored(index.join(hot, "t", "left_semi").select("r").distinct(), "busy", compact=True)
     one = index.join(lists.filter(F.col("c") <= HOT).select("t"), "t", "left_semi")
     two = one.select("t", F.col("r").alias("s"), F.col("n").alias("m"), F.col("pos").alias("at"))
     met = one.join(two, "t").filter(
         (F.col("r") < F.col("s")) & near(F.col("n"), F.col("m")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= _least_overlap(F.col("n"), F.col("m"), percent))
     )
-    alive = stored(met.select(F.explode(F.array("r", "s")).alias("r")).unionByName(busy).distinct(), "alive")
-    index = stored(index.join(hot, "t", "left_anti").join(alive, "r"), "index")
+    alive = stored(met.select(F.explode(F.array("r", "s")).alias("r")).unionByName(busy).distinct(), "alive", compact=True)
+    index = stored(index.join(hot, "t", "left_anti").join(alive, "r"), "index", compact=True)
 
     # their whole sets, from their texts
-    needed = stored(alive.join(classes.select("r", "doc_id", "h"), "r").select("r", "doc_id", "h"), "needed")
+    needed = stored(alive.join(classes.select("r", "doc_id", "h"), "r").select("r", "doc_id", "h"), "needed", compact=True)
     bucket = F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")
     # safe to broadcast: at most BUCKETS numbers
     some = source.withColumn("bucket", bucket).join(F.broadcast(needed.select(bucket).distinct()), "bucket", "left_semi")
@@ -197,7 +207,7 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     again = again.withColumn("pos", F.col("own") + F.row_number().over(mine.orderBy("df", "t")) - 1).filter(F.col("pos") < length)
     # lists of their own, apart from those of the first order
     index = index.unionByName(again.select(F.col("t").bitwiseXOR(F.lit(SECOND)).alias("t"), "r", "n", "pos"))
-    index = stored(index, "second")
+    index = stored(index, "second", compact=True)
 
     # leaders, those with the fewest rarer tokens, and the best of each document's
     leaders = index.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "r", "n")).alias("l")).filter("c > 1")
@@ -212,16 +222,14 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
         .agg(F.max(F.struct("c", "b")).alias("x"))
         .select("a", "x.b")
     )
-    best = stored(best, "leaders")
-
-    stars = stored(_verified(best, tokens, percent), "stars")
+    stars = _verified(best, tokens, percent, "stars")
 
     # groups: a document's leader, or that one's leader
     up = stars.select(F.col("a").alias("b"), F.col("b").alias("above"))
     groups = stars.join(up, "b", "left").select(F.col("a").alias("r"), F.coalesce("above", "b").alias("g"))
-    groups = stored(index.select("r", "n").distinct().join(groups, "r", "left").withColumn("g", F.coalesce("g", "r")), "groups")
+    groups = stored(index.select("r", "n").distinct().join(groups, "r", "left").withColumn("g", F.coalesce("g", "r")), "groups", compact=True)
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    listed = stored(index.join(groups.join(sizes, "g").drop("n"), "r"), "listed")
+    listed = stored(index.join(groups.join(sizes, "g").drop("n"), "r"), "listed", compact=True)
 
     # the matrix, where a token has several groups
     cells = listed.groupBy("t", "g", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
@@ -238,23 +246,24 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
         .groupBy("r", "n", "to", "to_members")
         .agg(F.min("least").alias("least"))
     )
-    reach = stored(reach, "reach")
+    reach = stored(reach, "reach", compact=True)
 
     # overlap with the union of each larger group's tokens
     member = groups.select(F.col("g").alias("to"), F.col("r").alias("s"), F.col("n").alias("ns"))
     many = reach.filter("to_members > 1")
     asked = member.join(many.select("to").distinct(), "to", "left_semi")
-    union = asked.join(tokens.withColumnRenamed("r", "s"), "s").select("to", F.explode("tokens").alias("t")).distinct()
-    held = many.join(tokens, "r").select("r", "n", "to", "least", F.explode("tokens").alias("t")).join(union, ["to", "t"])
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_PAIRS else df
+    union = tokens.withColumnRenamed("r", "s").join(small(asked, groups.count()), "s").select("to", F.explode("tokens").alias("t")).distinct()
+    held = tokens.join(small(many, reach.count()), "r").select("r", "n", "to", "least", F.explode("tokens").alias("t")).join(union, ["to", "t"])
     opened = held.groupBy("r", "n", "to", "least").agg(F.count(F.lit(1)).alias("o")).filter(F.col("o") >= _least_overlap(F.col("n"), floor, percent))
     # first the group's own leader (a group of one is its leader); a group's members are linked, so that one link to it is enough
     first = opened.select("r", "to").unionByName(reach.filter("to_members = 1").select("r", "to")).select(F.col("r").alias("a"), F.col("to").alias("b"))
-    first = stored(_verified(first, tokens, percent), "first")
+    first = _verified(first.distinct(), tokens, percent, "first")
     own_group = groups.select("r", "g")
     met = first.join(own_group.withColumnRenamed("r", "a"), "a").select("g", F.col("b").alias("to")).distinct()
     rest = opened.join(own_group, "r").join(met, ["g", "to"], "left_anti").join(member, "to")
     rest = rest.filter(near(F.col("n"), F.col("ns")) & (F.col("s") != F.col("to"))).select(F.col("r").alias("a"), F.col("s").alias("b"))
-    links = stars.unionByName(first).unionByName(_verified(rest, tokens, percent))
+    links = stars.unionByName(first).unionByName(_verified(rest.distinct(), tokens, percent, "rest"))
 
     roots = connected_components(links)
     linked = classes.join(roots.withColumnRenamed("node", "r"), "r", "left").withColumn("root", F.coalesce("root", "r"))

@@ -3,36 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts may be long, so a batch of the default 10,000 rows could be gigabytes.
-BATCH_ROWS = 256
-
-
-_shipped: set[str] = set()
+from adtflow.shipping import ship_package
 
+__all__ = ["BATCH_ROWS", "map_arrow", "shared_folder", "ship_package", "shuffle_partitions", "stored", "table", "text_or_empty"]
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package's code to the executors once a session, as they need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="adtflow-code-")), f"{root.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+#: Rows of an Arrow batch; texts may be long, so a batch of the default 10,000 rows could be gigabytes.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="adtflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
         folder = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(folder)
@@ -71,11 +57,15 @@ def _remove_all() -> None:
         _remove(spark, path)
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors, fixes any partitioning."""
+def stored(df: DataFrame, label: str, codec: str = "zstd", compact: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage, survives lost executors, fixes any partitioning.
+
+    compact: for tables that are small beside the input, at most two files for each core of the cluster.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/adtflow/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    out = df.coalesce(2 * spark.sparkContext.defaultParallelism) if compact else df
+    out.write.option("compression", codec).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
