@@ -26,10 +26,13 @@ from adtflow.llm.shared import map_arrow, stored
 
 #: A style node needs this many pages of its host before entropy decides.
 MIN_PAGES = 8
-#: Composite importance below which a branch goes.
+#: Composite importance below which a branch goes, as a share of the content importance of the host's whole pages: where pages are
+#: copies of each other, what they repeat isn't a sign of a template.
 LEAST_IMPORTANCE = 0.2
 #: Weight of the presentation; the content has the rest.
 PRESENTATION = 0.3
+#: The style node of a host's whole pages.
+ROOT = 0
 #: Removed style nodes of all hosts are broadcast up to this many bytes, and joined by host beyond.
 BROADCAST_BYTES = 8 << 20
 
@@ -95,7 +98,8 @@ class Page:
     def __init__(self, source: str | None):
         #: (text, style nodes above it that may be removed, in an article)
         self.pieces: list[tuple[str, tuple[int, ...], bool]] = []
-        self.branches: dict[int, Branch] = {}
+        #: by style node; ROOT stands for the whole page
+        self.branches: dict[int, Branch] = {ROOT: Branch(False)}
         self.has_article = False
         self._parse(source or "")
 
@@ -184,6 +188,7 @@ class Page:
         if text:
             self.pieces.append((text, tuple(path[top.base :]), top.article))
             if not top.noise and not text.isspace():
+                self.branches[ROOT].text.append(text)
                 for style in path[top.base :]:
                     self.branches[style].text.append(text)
 
@@ -237,7 +242,9 @@ def unimportant(nodes: DataFrame) -> DataFrame:
         F.max(F.col("kind") == 2).alias("noise"),
         F.sum(F.col("importance") * F.when(F.col("kind") == 0, PRESENTATION).when(F.col("kind") == 1, 1 - PRESENTATION).otherwise(0)).alias("importance"),
     )
-    return both.filter(F.col("noise") | (F.col("m") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).groupBy("host").agg(F.sort_array(F.collect_set("style")).alias("removed"))
+    whole = entropy.filter((F.col("style") == ROOT) & (F.col("kind") == 1)).select("host", F.col("importance").alias("whole"))
+    both = both.filter(F.col("style") != ROOT).join(whole, "host")
+    return both.filter(F.col("noise") | (F.col("m") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE * F.col("whole"))).groupBy("host").agg(F.sort_array(F.collect_set("style")).alias("removed"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -248,7 +255,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     that isn't noise is the text. A header inside an article is part of it.
     """
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    low = stored(unimportant(style_nodes(slim)), "style_nodes")
+    low = stored(unimportant(style_nodes(slim)), "style_nodes", compact=True)
     size = low.agg(F.coalesce(F.sum(F.size("removed") * 8 + F.octet_length("host") + 32), F.lit(0)).alias("b")).first()["b"]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
     if not size:

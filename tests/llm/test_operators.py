@@ -77,6 +77,11 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert all("Welcome" not in x["text"] and len(x["text"]) > 30 for x in got)
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    rows = [(i, f"http://c.org/{i}", '<body><div class="main">The same words on every page</div><nav>n</nav>', None, None) for i in range(20)]
+    assert {x["text"] for x in html_text.main_texts(pages(spark, rows)).collect()} == {"The same words on every page"}
+
+
 # 3
 def test_classifier_learns_and_scores_alike(spark):
     r = random.Random(3)
