@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,12 @@ from adtflow.engine import Engine
 TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the tables; their columns hold no nulls, which is declared instead of scanned for."""
+def engine(spark: SparkSession, sf_dir: str, query: str = "") -> Engine:
+    """An engine over the tables that a query names; their columns hold no nulls, which is declared instead of scanned for."""
     e = Engine(spark)
     for name, key in TABLES.items():
-        e.parquet(f"{sf_dir}/{name}.parquet", name, "all", key)
+        if not query or re.search(rf"\bfrom {name}\b", query):
+            e.parquet(f"{sf_dir}/{name}.parquet", name, "all", key)
     return e
 
 
@@ -236,13 +238,13 @@ select {event_id, shown}""",
 }
 
 
-def typed_engine(spark: SparkSession, sf_dir: str) -> Engine:
+def typed_engine(spark: SparkSession, sf_dir: str, query: str = "") -> Engine:
     """events with an option and an enum made of its columns."""
     from adtflow.lang.parser import parse
     from adtflow.plans.expressions import Binder
     from adtflow.types import FLOAT, Enum, Field, Named, Option, Record
 
-    e = engine(spark, sf_dir)
+    e = engine(spark, sf_dir, query or "from events")
     for d in parse(ENUMS):
         e.registry.define(d.name, d.type)
     src = e.sources["events"]
@@ -278,7 +280,7 @@ _ROUNDED = ("flagship", "arith_float", "let_functions", "agg_global", "group_hav
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = (typed_engine if name in _TYPED else engine)(spark, sf_dir)
+        e = (typed_engine if name in _TYPED else engine)(spark, sf_dir, QUERIES[name][0])
         result = e.query(QUERIES[name][0])
         df = result.frame.select(*(F.col(f"`{c}`") for c in result.columns))
         if name == "count_distinct_none":  # an option of an option comes as a struct
@@ -291,7 +293,7 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def fetch_by_key_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with and without a row, in the order asked for."""
     keys = [(i * 37) % 2000 for i in range(200)]
-    return engine(spark, sf_dir).fetch_frame("customer", keys).select(F.col("__position").alias("position"), F.col("__found").alias("found"), "c_name")
+    return engine(spark, sf_dir, "from customer").fetch_frame("customer", keys).select(F.col("__position").alias("position"), F.col("__found").alias("found"), "c_name")
 
 
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{name: _run(name) for name in QUERIES}, "fetch_by_key_aligned": fetch_by_key_aligned}
