@@ -256,8 +256,10 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     union = tokens.withColumnRenamed("r", "s").join(small(asked, groups.count()), "s").select("to", F.explode("tokens").alias("t")).distinct()
     held = tokens.join(small(many, reach.count()), "r").select("r", "n", "to", "least", F.explode("tokens").alias("t")).join(union, ["to", "t"])
     opened = held.groupBy("r", "n", "to", "least").agg(F.count(F.lit(1)).alias("o")).filter(F.col("o") >= _least_overlap(F.col("n"), floor, percent))
-    # first the group's own leader (a group of one is its leader); a group's members are linked, so that one link to it is enough
-    first = opened.select("r", "to").unionByName(reach.filter("to_members = 1").select("r", "to")).select(F.col("r").alias("a"), F.col("to").alias("b"))
+    # first the group's own leader; a group's members are linked, so that one link to it is enough. A group of one is compared by its
+    # member, which isn't its leader where that one is in a group of its own
+    single = reach.filter("to_members = 1").join(member, "to").filter(near(F.col("n"), F.col("ns")))
+    first = opened.select("r", F.col("to").alias("s")).unionByName(single.select("r", "s")).select(F.col("r").alias("a"), F.col("s").alias("b"))
     first = _verified(first.distinct(), tokens, percent, "first")
     own_group = groups.select("r", "g")
     met = first.join(own_group.withColumnRenamed("r", "a"), "a").select("g", F.col("b").alias("to")).distinct()

@@ -176,6 +176,18 @@ def test_components_equal_brute_force(spark, monkeypatch, k, percent, hot):
     assert got == components_of(list(enumerate(texts)), k, percent)
 
 
+def test_components_of_drifting_copies_equal_brute_force(spark):
+    # chains of edits whose leaders have leaders of their own, so that groups of one hold another document than their leader
+    r = random.Random(208)
+    base = words(r, r.choice((60, 80, 120)))
+    texts = [base]
+    for _ in range(r.choice((8, 14, 20))):
+        texts.append(edited(r, r.choice(texts[-3:]), 1 + r.randrange(2)))
+    r.shuffle(texts)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link_components(docs(spark, texts), 4, 85).collect()}
+    assert got == components_of(list(enumerate(texts)), 4, 85)
+
+
 def test_components_of_null_ids_and_nothing(spark):
     t = words(random.Random(9), 30)
     got = jaccard.link_components(docs(spark, [t, t, t, "lone words of five here", None], [None, 7, 7, None, None])).collect()
