@@ -7,12 +7,15 @@ are then compared word by word along the hit's diagonal.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adtflow.llm.shared import stored, text_or_empty
 
-#: Masks of one span; 1 marks a position that counts.
+#: Masks of one span; 1 marks a position that counts. In WINDOW words or more, one of them misses any substitutions that are allowed.
 MASKS = ("110101011", "111001011", "101110011")
 SPAN = 9
 #: An overlap is a window of this many words, or the whole item if that is shorter, of which SIMILARITY agree.
@@ -24,6 +27,23 @@ BROADCAST_ROWS = 1_000_000
 BUCKETS = 1 << 18
 
 
+def substitutions(n: int) -> int:
+    """How many words of an item of n words, n at most WINDOW, may differ."""
+    return n - ceil(SIMILARITY * n - 1e-9)
+
+
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks over a whole item of n words, fewer than WINDOW, one of which misses any substitutions that are allowed.
+
+    The item is cut into blocks, two more than words may differ, and each mask has two blocks, so that at least two are unharmed.
+    """
+    allowed = substitutions(n)
+    if not allowed:
+        return ("1" * n,)
+    block = [i * (allowed + 2) // n for i in range(n)]
+    return tuple("".join("1" if b in kept else "0" for b in block) for kept in combinations(range(allowed + 2), 2))
+
+
 def words(text: F.Column) -> F.Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -52,7 +72,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     n_words: words of the item; matched: most words that agree on one diagonal; similarity: most of a window's words that agree, as
     a share. Null texts are empty and overlap with nothing, as do items without words. A null id is reported as null. Repeated
-    rows are reported once. Items shorter than SPAN are looked up as whole runs of words. Other columns are not read.
+    rows are reported once. Items shorter than WINDOW have masks over the whole item, and may reach past either end of a document by
+    as many words as may differ. Other columns are not read.
     """
     text = text_or_empty(text_col)
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
@@ -60,18 +81,21 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = source.select("doc_id", "h", hashed(F.col("text")).alias("w"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), hashed(text_or_empty(item_text_col)).alias("w")).filter(F.size("w") > 0).distinct()
     items = stored(items, "items", compact=True)
-    short = sorted(r[0] for r in items.filter(F.size("w") < SPAN).select(F.size("w")).distinct().collect())  # fewer than SPAN numbers
+    short = sorted(r[0] for r in items.filter(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # fewer than WINDOW numbers
 
     hits = None
-    for masks, chosen in [(MASKS, items.filter(F.size("w") >= SPAN)), *((("1" * n,), items.filter(F.size("w") == n)) for n in short)]:
+    passes = [(MASKS, 0, items.filter(F.size("w") >= WINDOW)), *((short_masks(n), substitutions(n), items.filter(F.size("w") == n)) for n in short)]
+    for masks, beyond, chosen in passes:
         seeds = stored(_windows(chosen, masks, ["item_id"]).distinct(), "seeds", compact=True)
         n = seeds.count()
         if not n:
             continue
-        found = _windows(docs, masks, ["doc_id", "h"]).join(
+        # the empty word, which no item has, stands for words past a document's ends
+        ends = F.array_repeat(F.xxhash64(F.lit("")), beyond)
+        found = _windows(docs.withColumn("w", F.concat(ends, "w", ends)) if beyond else docs, masks, ["doc_id", "h"]).join(
             (F.broadcast(seeds) if n <= BROADCAST_ROWS else seeds).withColumnRenamed("start", "item_start"), "seed"
         )
-        found = found.select("doc_id", "h", "item_id", (F.col("start") - F.col("item_start")).alias("diagonal"))
+        found = found.select("doc_id", "h", "item_id", (F.col("start") - F.col("item_start") - beyond).alias("diagonal"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = docs.limit(0).select("doc_id", "h", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("diagonal"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -310,3 +311,23 @@ def test_decontamination_equals_comparison_of_all_diagonals(spark):
     assert decontamination.contaminated(docs(spark, texts), bench.limit(0)).collect() == []
     kept = decontamination.without_contaminated(docs(spark, texts), bench)
     assert {x["doc_id"] for x in kept.collect()} == set(range(len(texts))) - {i for i, _ in got}
+
+
+def test_short_items_equal_comparison_of_all_diagonals(spark):
+    r = random.Random(15)
+    items = [words(r, n).split() for n in range(1, 13)]
+    texts = []
+    for t in items:
+        allowed = len(t) - -(-4 * len(t) // 5)
+        for gone in (c for k in range(allowed + 2) for c in itertools.combinations(range(len(t)), k)):
+            texts.append([f"x{i}" if i in gone else w for i, w in enumerate(t)])  # the item alone, with one word too many at last
+        texts += [[*words(r, 6).split(), *t[: len(t) - x]] for x in range(3)] + [[*t[x:], *words(r, 6).split()] for x in range(3)]  # past an end
+    bench = spark.createDataFrame([(i, " ".join(t), "s") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    got = {(x["doc_id"], x["item_id"]): (x["matched"], x["similarity"]) for x in decontamination.contaminated(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    want = {}
+    for i, w in enumerate(texts):
+        for j, b in enumerate(items):
+            best = max(sum(0 <= d + x < len(w) and w[d + x] == y for x, y in enumerate(b)) for d in range(-len(b), len(w) + 1))
+            if 10 * best >= 8 * len(b):
+                want[i, j] = (best, best / len(b))
+    assert got == want
