@@ -1,13 +1,13 @@
 """Operator 5: licence scans by the Dice coefficient over word bigrams.
 
 A text is normalised to words; a stretch of it is compared with a template by 2 |A and B| / (|A| + |B|) over their sets of word
-bigrams. A stretch can reach the threshold only with templates of similar size, so size bounds prune the templates; stretches are
-placed where bigrams of a template occur in the order of the template.
+bigrams. A stretch can reach the threshold only if it holds enough of a template's bigrams, which prunes the templates, and not too
+many others, which bounds its size. Of the rest every stretch is scored that can't be shortened without losing one of those bigrams.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -107,49 +107,79 @@ class Scanner:
     def __init__(self, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.licenses, self.sets, self.lengths = [], [], []
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for name, text in templates():
             b = bigrams(text)
-            for at, h in enumerate(b.tolist()):
-                places[h].append((len(self.sets), at))
             self.licenses.append(name)
             self.sets.append(set(b.tolist()))
             self.lengths.append(len(b))
-        self.places = dict(places)
-        self.known = np.sort(np.fromiter(self.places, np.int64))
+        self.known = np.unique(np.concatenate([np.fromiter(s, np.int64) for s in self.sets]))
+        #: by known bigram and template: whether the template has it
+        self.has = np.zeros((len(self.known), len(self.sets)), bool)
+        for t, s in enumerate(self.sets):
+            self.has[np.searchsorted(self.known, np.fromiter(s, np.int64)), t] = True
+        sizes = np.array([len(s) for s in self.sets])
+        # of two sets a and b with 2 |A and B| >= threshold (|A| + |B|): the least overlap, and the most that |A| can be
+        self.least = np.ceil(threshold / (2 - threshold) * sizes - 1e-9).astype(int)
+        self.most = np.floor((2 - threshold) / threshold * sizes + 1e-9).astype(int)
 
     def scan(self, text: str | None) -> list[Match]:
         """The best non-overlapping stretches of a text, best first where they compete, in order of place."""
         b = bigrams(text)
-        at = np.searchsorted(self.known, b)
-        hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == b)
+        at = np.minimum(np.searchsorted(self.known, b), len(self.known) - 1)
+        hits = np.flatnonzero(self.known[at] == b)
         if not len(hits):
             return []
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for p in hits.tolist():
-            for t, k in self.places[int(b[p])]:
-                votes[t, p - k] += 1
+        kinds = at[hits]
+        some = np.flatnonzero(self.has[np.unique(kinds)].sum(axis=0) >= self.least)
+        if not len(some):
+            return []
+        # where each bigram was last before, to count distinct ones from any place on
+        order = np.argsort(b, kind="stable")
+        before = np.full(len(b), -1)
+        same = b[order[1:]] == b[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
         found = []
-        for (t, start), n in votes.items():
-            size, length = len(self.sets[t]), self.lengths[t]
-            # a stretch that starts here shares n bigrams in place, and at most as many more as are out of place
-            if 4 * n < self.threshold * size:
-                continue
-            first = max(0, start)
-            # sizes that can reach the threshold: from t / (2 - t) to (2 - t) / t times the template's
-            lengths = {length, length - 1, length + 1, round(length * 0.9), round(length * 1.1)} if length > 12 else {length, length - 1, length + 1}
-            for m in lengths:
-                if m < 1 or first + m > len(b) or not self.threshold * size <= (2 - self.threshold) * m <= (2 - self.threshold) ** 2 / self.threshold * size:
-                    continue
-                s = dice(set(b[first : first + m].tolist()), self.sets[t])
-                if s >= self.threshold:
-                    found.append((-round(s, 6), -length, first, m, t))
+        for t in some.tolist():
+            mine = self.has[kinds, t]
+            for s, first, m in self._stretches(hits[mine], kinds[mine], before, t):
+                found.append((-round(s, 6), -self.lengths[t], first, m, t))
         out: list[Match] = []
         for s, _, first, m, t in sorted(found):
             if not any(first < x.first_word + x.n_words and x.first_word < first + m + 1 for x in out):
                 out.append(Match(self.licenses[t], first, m + 1, -s))
         return sorted(out, key=lambda x: x.first_word)
 
+    def _stretches(self, places: np.ndarray, kinds: np.ndarray, before: np.ndarray, t: int) -> Iterator[tuple[float, int, int]]:
+        """Score, first bigram and number of bigrams of the stretches that match template t and hold their first and last bigram once.
+
+        Of stretches with one start a longer one is left out unless it scores more: the shorter, which comes first, overlaps it.
+        places, kinds: of the template's bigrams in the text.
+        """
+        size, least, most = len(self.sets[t]), int(self.least[t]), int(self.most[t])
+        upcoming: dict[int, int] = {}  # the next place of each of the template's bigrams, nearest first
+        for p, kind in zip(places[::-1].tolist(), kinds[::-1].tolist(), strict=True):
+            again = upcoming.pop(kind, len(before))
+            upcoming = {kind: p, **upcoming}
+            ends = [e for e in upcoming.values() if e < again]
+            if len(ends) < least:
+                continue
+            # places up to the first that is one distinct bigram too many; most stretches are short, so few are looked at in vain
+            distinct, width = np.empty(0, int), 2 * most
+            while True:
+                stop = min(p + width, ends[-1] + 1)
+                distinct = np.cumsum(before[p:stop] < p)
+                if stop > ends[-1] or distinct[-1] > most:
+                    break
+                width *= 2
+            top = 0.0
+            for shared, e in enumerate(ends, 1):
+                if e >= stop or distinct[e - p] > most:
+                    break
+                s = 2 * shared / (int(distinct[e - p]) + size)
+                if s >= self.threshold and s > top:
+                    top = s
+                    yield s, p, e - p + 1
+
 
 @lru_cache(2)
 def scanner(threshold: float = THRESHOLD) -> Scanner:
@@ -160,7 +190,8 @@ def license_matches(documents: DataFrame, threshold: float = THRESHOLD, id_col:
     """doc_id, license, first_word, n_words and dice of each stretch of a text that matches a template.
 
     Texts without a match, empty and null texts give no rows; repeated rows give repeated rows; other columns are not read. Of
-    templates that match overlapping stretches the best stays; ties go to the longer template, then to the earlier place.
+    templates that match overlapping stretches the best stays; ties go to the longer template, then to the earlier place. A stretch
+    begins and ends with a bigram of its template that it holds once.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

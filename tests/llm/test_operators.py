@@ -146,6 +146,36 @@ def test_licenses(spark):
         assert bool(whole.scan(t)) == (best >= licenses.THRESHOLD)
 
 
+def test_edited_notices_match_as_brute_force_says():
+    r = random.Random(16)
+    notice = licenses.NOTICES["MIT"].split()
+    marked = [" ".join(w if i % n else f"dnl {w}" for i, w in enumerate(notice)) for n in (12, 14, 20)]
+    split = [" ".join([*notice[:40], *words(r, n).split(), *notice[40:]]) for n in (5, 22, 60)]
+    moved = [" ".join([*words(r, 9).split(), *notice[45:], *notice[:45], *words(r, 9).split()]), " ".join(notice[:60]), " ".join(notice[:50])]
+    for name in ("ISC", "MPL-2.0"):
+        moved += [words(r, 12) + " " + edited(r, licenses.NOTICES[name], n) for n in (1, 2, 4, 8)]
+    twice = [" ".join(notice) + " " + licenses.NOTICES["ISC"], "licensed under MIT " * 50, "REM " * 30 + marked[0].replace("dnl", "REM REM REM REM")]
+    s = licenses.scanner()
+    templates = sorted(set(zip(map(frozenset, s.sets), s.licenses, strict=True)), key=lambda x: len(x[0]))
+    found = 0
+    for text in marked + split + moved + twice:
+        b = licenses.bigrams(text).tolist()
+        best = 0.0
+        for t, _ in templates:
+            for i in range(len(b)):
+                seen = set()
+                shared = 0
+                for h in b[i:]:
+                    if h not in seen:
+                        seen.add(h)
+                        shared += h in t
+                    best = max(best, 2 * shared / (len(seen) + len(t)))
+        got = s.scan(text)
+        assert bool(got) == (best >= licenses.THRESHOLD) and max((x.score for x in got), default=0) == (round(best, 6) if got else 0)
+        found += bool(got)
+    assert found >= 8 and [x.license for x in s.scan(twice[0])] == ["MIT", "ISC"] and all([x.license for x in s.scan(x)] == ["MIT"] for x in [*marked, split[1]])
+
+
 # 6
 def test_media_round_trip(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + n + d + zlib.crc32(n + d).to_bytes(4, "big") for n, d in ((b"IHDR", bytes(13)), (b"IEND", b"")))
