@@ -38,8 +38,10 @@ BROADCAST_BYTES = 8 << 20
 
 # HTML's element kinds and the names that state a role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title head select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml object canvas audio video textarea title head select".split())
+#: Of those, the ones that hold the rest of the page where their end tag is missing.
+TO_THE_END = frozenset("script style textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -57,6 +59,8 @@ COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus replie
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: The end of each raw element; a head ends with the body's start too, when its end tag is missing.
+_ENDS = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)[^>]*(?:>|\Z)" if x != "head" else r"(?=</head(?:[\s/>]|\Z)|<body(?:[\s/>]|\Z))", re.A | re.I) for x in RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -106,7 +110,7 @@ class Page:
     def _parse(self, source: str) -> None:
         stack = [Element("", 0, 0, False, "", 0)]
         path: list[int] = []
-        lower = None
+        endless: set[str] = set()
         at = 0
         for m in iter(lambda: _TOKEN.search(source, at), None):
             self._put(source[at : m.start()], stack[-1], path)
@@ -128,18 +132,14 @@ class Page:
                         break
                 continue
             if tag in RAW:
-                if not raw.endswith("/") or tag in ("script", "style", "title", "textarea"):
-                    if tag == "head":  # ends with the body, when its end tag is missing
-                        lower = lower if lower is not None else source.lower()
-                        ends = [x for x in (lower.find("</head", at), lower.find("<body", at)) if x >= 0]
-                        end = min(ends, default=-1)
-                        if end < 0:
-                            continue
-                        at = end
-                    else:
-                        lower = lower if lower is not None else source.lower()
-                        end = lower.find(f"</{tag}", at)
-                        at = len(source) if end < 0 else (lower.find(">", end) + 1 or len(source))
+                if (not raw.endswith("/") or tag in TO_THE_END) and tag not in endless:
+                    end = _ENDS[tag].search(source, at)
+                    if end:
+                        at = end.end()
+                    elif tag in TO_THE_END:
+                        at = len(source)
+                    else:  # what follows is read as if the tag weren't there
+                        endless.add(tag)
                 continue
             closes = {"p"} if tag in ENDS_PARAGRAPH else SIBLINGS.get(tag, ())
             for i in range(len(stack) - 1, 0, -1):

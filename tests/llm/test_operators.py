@@ -83,6 +83,19 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {x["text"] for x in html_text.main_texts(pages(spark, rows)).collect()} == {"The same words on every page"}
 
 
+def test_text_after_raw_elements_stays():
+    text = lambda x: html_text.Page(x).main_text(set())
+    assert text("<body><p>" + "İ" * 9 + "</p><script>s</script><p>first words</p><STYLE>x</Style ><p>second</p>") == "İ" * 9 + " first words second"
+    assert text("<head><title>İİİ</title><body><p>start of it</p>") == "start of it"
+    for tag in sorted(html_text.RAW - html_text.TO_THE_END):
+        assert text(f"<body><p>one</p><{tag}><p>two</p>") == "one two", tag
+    for tag in sorted(html_text.RAW - {"head"}):
+        assert text(f"<body><p>one</p><{tag}>x</{tag.upper()}\n><p>two</p>") == "one two", tag
+    for tag in sorted(html_text.TO_THE_END):
+        assert text(f"<body><p>one</p><{tag}><p>two</p>") == "one", tag
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be</p></article>") == "Let x = 2 be"
+
+
 # 3
 def test_classifier_learns_and_scores_alike(spark):
     r = random.Random(3)
