@@ -61,6 +61,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: The end of each raw element; a head ends with the body's start too, when its end tag is missing.
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)[^>]*(?:>|\Z)" if x != "head" else r"(?=</head(?:[\s/>]|\Z)|<body(?:[\s/>]|\Z))", re.A | re.I) for x in RAW}
+_UNREAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)", re.A | re.I | re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -71,6 +72,8 @@ class Element(NamedTuple):
     article: bool
     noise: str
     base: int
+    #: its own names say that it is noise
+    own: bool
 
 
 class Branch:
@@ -100,15 +103,17 @@ class Page:
     """A parsed page: its text in pieces, each with the style nodes it lies in."""
 
     def __init__(self, source: str | None):
-        #: (text, style nodes above it that may be removed, in an article)
-        self.pieces: list[tuple[str, tuple[int, ...], bool]] = []
+        #: (text, style nodes above it that may be removed)
+        self.pieces: list[tuple[str, tuple[int, ...]]] = []
         #: by style node; ROOT stands for the whole page
         self.branches: dict[int, Branch] = {ROOT: Branch(False)}
-        self.has_article = False
-        self._parse(source or "")
+        self._source = source or ""
+        #: by tag: whether as many end as start
+        self._even: dict[str, bool] = {}
+        self._parse(self._source)
 
     def _parse(self, source: str) -> None:
-        stack = [Element("", 0, 0, False, "", 0)]
+        stack = [Element("", 0, 0, False, "", 0, False)]
         path: list[int] = []
         endless: set[str] = set()
         at = 0
@@ -120,7 +125,7 @@ class Page:
                 continue
             tag = tag.lower()
             if tag not in INLINE:
-                self.pieces.append((" ", (), True))
+                self.pieces.append((" ", ()))
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
@@ -152,7 +157,7 @@ class Page:
                     break
             if tag in VOID:
                 continue
-            e = self._element(tag, raw, stack[-1], len(path))
+            e = self._element(tag, raw, stack, len(path))
             if path:
                 self.branches[path[-1]].children.append(f"{tag}.{e.style & 0xFFFF}")
             if e.role:
@@ -161,40 +166,48 @@ class Page:
             stack.append(e)
         self._put(source[at:], stack[-1], path)
 
-    def _element(self, tag: str, raw: str, parent: Element, depth: int) -> Element:
+    def _closed(self, tag: str) -> bool:
+        """Whether elements of this kind are properly closed: the page has as many of their end tags as of their start tags."""
+        if tag not in self._even:
+            plain = _UNREAD.sub("", self._source)
+            starts, ends = (len(re.findall(rf"<{x}{re.escape(tag)}(?=[\s/>])", plain, re.A | re.I)) for x in ("", "/"))
+            self._even[tag] = starts == ends
+        return self._even[tag]
+
+    def _element(self, tag: str, raw: str, stack: list[Element], depth: int) -> Element:
         """role 0: no style node of its own; 1: entropy decides; 2: noise by its role, below which nothing needs a decision."""
+        parent = stack[-1]
         a = _attributes(raw)
         stated = a.get("role", "").lower()
         label = " ".join([tag, *sorted(re.sub(r"\d+", "#", f"{a.get('class', '')} {a.get('id', '')}").split())])
         style = _style(parent.style, label)
         names = {x.lower() for k in ("class", "id") for x in _WORDS.findall(a.get(k, ""))}
-        noise, article, base = parent.noise, parent.article, parent.base
+        noise, article, base, own = parent.noise, parent.article, parent.base, False
         is_article = tag in ("article", "main") or stated in ("article", "main") or "articlebody" in a.get("itemprop", "").lower() or bool(names & ARTICLE_NAMES and names & {"body", "content", "text"})
-        if is_article and not names & COMMENT_NAMES and noise in ("", "open"):
+        if is_article and not names & COMMENT_NAMES and (not noise or noise == "open" and not any(e.own and e.noise and self._closed(e.tag) for e in stack)):
             # an advert or menu before the article that was never closed doesn't hold the article
             noise, article, base = "", True, depth if noise else base
-            self.has_article = True
         elif names & COMMENT_NAMES or tag in ("aside", "footer") or stated in ("complementary", "contentinfo"):
-            noise = "closed"
+            noise, own = "closed", True
         elif tag in NOISE_TAGS or stated in NOISE_ROLES or names & NOISE_NAMES or (not article and (tag == "header" or names & HEADER_NAMES)):
-            noise = noise or "open"
+            noise, own = noise or "open", True
         if noise:
             role = 0 if parent.noise == noise else 2
         else:
             role = int(not is_article and tag not in ("html", "body") and (bool(names) if article else tag not in INLINE))
-        return Element(tag, style, role, article, noise, base)
+        return Element(tag, style, role, article, noise, base, own)
 
     def _put(self, text: str, top: Element, path: list[int]) -> None:
         if text:
-            self.pieces.append((text, tuple(path[top.base :]), top.article))
+            self.pieces.append((text, tuple(path[top.base :])))
             if not top.noise and not text.isspace():
                 self.branches[ROOT].text.append(text)
                 for style in path[top.base :]:
                     self.branches[style].text.append(text)
 
     def main_text(self, removed: frozenset[int] | set[int]) -> str:
-        """Article text, or all text where no article is marked, without the removed branches."""
-        kept = [t for t, path, article in self.pieces if (article or not self.has_article) and not (path and removed and not removed.isdisjoint(path))]
+        """All text without the removed branches."""
+        kept = [t for t, path in self.pieces if not (path and removed and not removed.isdisjoint(path))]
         # references are decoded in each stretch of text, so that none is made up of two stretches
         return " ".join("".join(html.unescape(t) if "&" in t else t for t in kept).split())
 
@@ -251,8 +264,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null or empty html gives an empty text; a null URL has the host ''; repeated pages are handled alike; an empty table gives no
-    rows; other columns are not read. White space is what Unicode calls so. Where no article element is marked, all of the body
-    that isn't noise is the text. A header inside an article is part of it.
+    rows; other columns are not read. White space is what Unicode calls so. All of the body that isn't noise is the text, in an
+    article element or not. A header inside an article is part of it. An article inside properly closed noise is noise.
     """
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     low = stored(unimportant(style_nodes(slim)), "style_nodes", compact=True)

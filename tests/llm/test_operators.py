@@ -96,6 +96,16 @@ def test_text_after_raw_elements_stays():
     assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be</p></article>") == "Let x = 2 be"
 
 
+def test_an_article_does_not_decide_for_the_whole_page(spark):
+    r = random.Random(17)
+    main = [words(r, 30) for _ in range(3)]
+    teaser = '<div class="related"><article>teaser</article></div>'
+    rows = [(0, "http://a/0", f'<body><div class="content">{main[0]}</div>{teaser}', None, None), (1, "http://b/1", f"<body><p>{main[1]}</p><main>more</main>", None, None)]
+    rows += [(2, "http://c/2", f'<body><div class="ad">buy<article>{main[2]}</article><script>"</div>"</script>', None, None)]  # never closed
+    got = {x["page_id"]: x["text"] for x in html_text.main_texts(pages(spark, rows)).collect()}
+    assert got == {0: main[0], 1: main[1] + " more", 2: main[2]}
+
+
 # 3
 def test_classifier_learns_and_scores_alike(spark):
     r = random.Random(3)
