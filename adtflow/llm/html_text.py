@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from adtflow.llm.shared import map_arrow, stored
 
-#: A style node needs this many pages of its host before entropy decides.
-MIN_PAGES = 8
+#: Entropy decides a style node that this many pages have with different texts as a whole, as copies of one page prove nothing.
+SUPPORT = 2
+#: With this many pages it decides without that proof.
+MANY_PAGES = 8
 #: Composite importance below which a branch goes, as a share of the content importance of the host's whole pages: where pages are
 #: copies of each other, what they repeat isn't a sign of a template.
 LEAST_IMPORTANCE = 0.2
@@ -247,7 +249,7 @@ def unimportant(nodes: DataFrame) -> DataFrame:
     """host and the array removed of its style nodes below LEAST_IMPORTANCE."""
     entropy = (
         nodes.groupBy("host", "style", "kind")
-        .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+        .agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("values"), F.sum(F.col("n") * F.log2("n")).alias("s"))
         .withColumn("importance", F.when(F.col("m") > 1, (F.log2("m") - F.col("s") / F.col("m")) / F.log2("m")).otherwise(1.0))
     )
     both = entropy.groupBy("host", "style").agg(
@@ -255,9 +257,11 @@ def unimportant(nodes: DataFrame) -> DataFrame:
         F.max(F.col("kind") == 2).alias("noise"),
         F.sum(F.col("importance") * F.when(F.col("kind") == 0, PRESENTATION).when(F.col("kind") == 1, 1 - PRESENTATION).otherwise(0)).alias("importance"),
     )
-    whole = entropy.filter((F.col("style") == ROOT) & (F.col("kind") == 1)).select("host", F.col("importance").alias("whole"))
+    whole = entropy.filter((F.col("style") == ROOT) & (F.col("kind") == 1)).select("host", F.col("importance").alias("whole"), (F.col("m") - F.col("values")).alias("copies"))
     both = both.filter(F.col("style") != ROOT).join(whole, "host")
-    return both.filter(F.col("noise") | (F.col("m") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE * F.col("whole"))).groupBy("host").agg(F.sort_array(F.collect_set("style")).alias("removed"))
+    # of m pages at least m - copies differ as a whole
+    supported = (F.col("m") - F.col("copies") >= SUPPORT) | (F.col("m") >= MANY_PAGES)
+    return both.filter(F.col("noise") | supported & (F.col("importance") < LEAST_IMPORTANCE * F.col("whole"))).groupBy("host").agg(F.sort_array(F.collect_set("style")).alias("removed"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -106,6 +106,21 @@ def test_an_article_does_not_decide_for_the_whole_page(spark):
     assert got == {0: main[0], 1: main[1] + " more", 2: main[2]}
 
 
+def test_entropy_decides_on_small_hosts(spark):
+    r = random.Random(18)
+    rows, want = [], {}
+    for n in range(1, 8):
+        for i in range(n):
+            main = words(r, 30)
+            rows.append((100 * n + i, f"http://h{n}/{i}", f'<body><div class="welcome">Welcome to us</div><div class="prose">{main}</div>', None, None))
+            want[100 * n + i] = main if n > 1 else "Welcome to us " + main
+    for i in range(4):  # copies of a page beside another one
+        main = "another" if i == 3 else "the same words"
+        rows.append((i, f"http://copies/{i}", f'<body><div class="{"x" if i == 3 else "y"}">{main}</div>', None, None))
+        want[i] = main
+    assert {x["page_id"]: x["text"] for x in html_text.main_texts(pages(spark, rows)).collect()} == want
+
+
 # 3
 def test_classifier_learns_and_scores_alike(spark):
     r = random.Random(3)
