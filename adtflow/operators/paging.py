@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from adtflow.errors import QueryError
 
 
+MAX_CURSOR = 8192
+
+
 def _plain(x: Any) -> Any:
     if x is None or isinstance(x, (bool, int, float, str)):
         return x
@@ -45,6 +48,8 @@ def encode(secret: bytes, query: str, boundary: list[Any]) -> str:
 
 
 def decode(secret: bytes, query: str, cursor: str) -> list[Any]:
+    if len(cursor) > MAX_CURSOR:
+        raise QueryError("E_CURSOR_LIMIT", f"a cursor has at most {MAX_CURSOR} characters")
     try:
         raw = base64.urlsafe_b64decode(cursor.encode())
         tag, body = raw[:16], raw[16:]
@@ -52,9 +57,9 @@ def decode(secret: bytes, query: str, cursor: str) -> list[Any]:
             raise ValueError("signature")
         digest, boundary = json.loads(body)
     except ValueError as e:
-        raise QueryError("E_CURSOR", "the cursor is damaged") from e
+        raise QueryError("E_CURSOR_CODEC", "the cursor is damaged") from e
     if digest != hashlib.sha256(query.encode()).hexdigest()[:16]:
-        raise QueryError("E_CURSOR", "the cursor belongs to another query")
+        raise QueryError("E_CURSOR_QUERY", "the cursor belongs to another query")
     return [_value(x) for x in boundary]
 
 

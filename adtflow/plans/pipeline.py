@@ -16,6 +16,7 @@ from adtflow.plans.expressions import Binder, Local, Scope, column
 from adtflow.types import INT, Enum, List, Option, Record, Registry, Type
 
 INNER = "__inner_"
+MAX_PAGE_KEYS = 16
 
 
 @dataclass
@@ -70,11 +71,10 @@ class Lowering:
         src = self.source(p.source, p.place)
         plan = Plan(dict(src.columns), src.frame(), [{"stage": "from", "table": p.source}])
         scope = Scope(plan.columns)
-        state = {"sorted": None, "untouched": True, "fixed": set(), "source": src, "nested": nested}
+        # origin: by column, the source's column whose values it holds unchanged; fixed: the source's fields that equal one value
+        state = {"origin": {c: c for c in src.columns}, "fixed": set(), "source": src, "nested": nested, "last_sort": _page_shape(p)}
         for stage in p.stages:
             kind = type(stage).__name__.lower()
-            if plan.page is not None and kind not in ("lookup", "select", "let"):
-                raise QueryError("E_PAGE", f"no {kind} may follow a page", stage.place)
             if isinstance(stage, N.Let):
                 if stage.params is None:  # checked where it stands, as far as its names are known
                     self.b.bind(stage.body, replace(scope, columns=plan.columns), stage.type)
@@ -91,8 +91,9 @@ class Lowering:
 
     # stages
     def _filter(self, n: N.Filter, plan: Plan, s: Scope, state: dict) -> Plan:
-        if isinstance(n.condition, N.Binary) and n.condition.op == "==" and isinstance(n.condition.left, N.Path):
-            state["fixed"].add(".".join(n.condition.left.parts))
+        for part in _conjuncts(n.condition):
+            if isinstance(part, N.Binary) and part.op == "==" and isinstance(part.left, N.Path) and isinstance(part.right, (N.Literal, N.Param, N.Constructor)):
+                state["fixed"].add(_origin(state, ".".join(part.left.parts)))
         return replace(plan, frame=plan.frame.filter(self.b.condition(n.condition, s)))
 
     def _exists(self, n: N.Exists, plan: Plan, s: Scope, state: dict) -> Plan:
@@ -124,7 +125,7 @@ class Lowering:
             x = self.b.bind(value, replace(s, columns=columns))
             frame = frame.withColumn(name, x.col)
             columns[name] = x.type
-            state["fixed"].discard(name)
+            state["origin"].pop(name, None)
         return replace(plan, frame=frame, columns=columns)
 
     def _lookup(self, n: N.Lookup, plan: Plan, s: Scope, state: dict) -> Plan:
@@ -159,7 +160,7 @@ class Lowering:
             frame = plan.frame.agg(*cols)
         else:
             frame = plan.frame.groupBy(*(c.alias(name) for c, _, name in keys)).agg(*cols)
-        state |= {"sorted": None, "untouched": False}
+        state["origin"] = {}
         return replace(plan, frame=frame, columns={**{name: t for _, t, name in keys}, **out})
 
     def _window(self, n: N.Window, plan: Plan, s: Scope, state: dict) -> Plan:
@@ -177,56 +178,93 @@ class Lowering:
         if state["nested"]:
             raise QueryError("E_SET", "set operations can't be nested", n.place)
         if any(isinstance(x, N.Page) for x in n.pipeline.stages):
-            raise QueryError("E_PAGE", "no page may stand in a set operation", n.place)
+            raise QueryError("E_PAGE_SHAPE", "no page may stand in a set operation", n.place)
         right = self.pipeline(n.pipeline, nested=True)
         if list(right.columns.items()) != list(plan.columns.items()):
             raise QueryError("E_SET", "both sides need the same fields, types and order", n.place)
-        state |= {"sorted": None, "untouched": False}
+        state["origin"] = {}
         return replace(plan, frame=relational.combine(plan.frame.select(*map(column, plan.columns)), right.frame.select(*map(column, right.columns)), n.kind))
 
     def _select(self, n: N.Select, plan: Plan, s: Scope, state: dict) -> Plan:
-        cols, columns = [], {}
+        cols, columns, origin = [], {}, {}
         for f in n.fields:
             if isinstance(f, tuple):
                 x = self.b.bind(f[1], s)
                 col, t, name = x.col, x.type, f[0]
             else:
                 col, t, name = self.field(f, plan, s)
+            same = f[1] if isinstance(f, tuple) else f
+            if isinstance(same, N.Path) and len(same.parts) == 1 and same.parts[0] in state["origin"]:
+                origin[name] = state["origin"][same.parts[0]]
             cols.append(col.alias(name))
             columns[name] = t
-        cols += [column(f"__key{i}") for i in range(len(plan.page.keys) if plan.page else 0)]  # for the cursors
+        state["origin"] = origin
+        cols += [column(f"__key{i}") for i in range(len(state.get("key_types", ())))]  # for the cursors
         return replace(plan, frame=plan.frame.select(*cols), columns=columns)
 
     def _sort(self, n: N.Sort, plan: Plan, s: Scope, state: dict) -> Plan:
-        state["sorted"] = [(".".join(p.parts), down) for p, down in n.keys]
-        state["order_keys"] = n.keys
-        return replace(plan, frame=plan.frame.orderBy(*self.order(n.keys, plan, s)))
+        frame, order = plan.frame, self.order(n.keys, plan, s)
+        if n is state["last_sort"]:  # the page's keys are the values sorted by, whatever a later select calls by their names
+            keys = [self.field(p, plan, s) for p, _ in n.keys]
+            state["key_types"] = [t for _, t, _ in keys]
+            state["sorted"] = [(_origin(state, name), down) for (_, _, name), (_, down) in zip(keys, n.keys)]
+            frame = frame.withColumns({f"__key{i}": c for i, (c, _, _) in enumerate(keys)})
+        return replace(plan, frame=frame.orderBy(*order))
 
     def _take(self, n: N.Take, plan: Plan, s: Scope, state: dict) -> Plan:
-        state["untouched"] = False
         frame = plan.frame.offset(n.offset) if n.offset else plan.frame
         return replace(plan, frame=frame.limit(n.count))
 
     def _page(self, n: N.Page, plan: Plan, s: Scope, state: dict) -> Plan:
-        if plan.page is not None or state["nested"]:
-            raise QueryError("E_PAGE", "a query has one page", n.place)
         src, keys = state["source"], state["sorted"]
-        if not keys or not state["untouched"]:
-            raise QueryError("E_PAGE", "a page follows a sort, without take or aggregates before", n.place)
-        if src.checked and keys[-1][0] != src.key and not _unique_order(src, [k for k, _ in keys], state["fixed"]):
-            raise QueryError("E_PAGE", "the sort isn't known to be unique", n.place)
+        if not 1 <= len(keys) <= MAX_PAGE_KEYS:
+            raise QueryError("E_PAGE_ORDER", f"a page's sort has 1 to {MAX_PAGE_KEYS} keys", n.place)
+        if (src.key is None or keys[-1][0] != src.key) and not _unique_order(src, [k for k, _ in keys], state["fixed"]):
+            raise QueryError("E_PAGE_ORDER", "the sort must end in the unchanged key or in the rest of a unique index", n.place)
         frame, before = plan.frame, n.direction == "before"
-        bound = []
-        types = [self.field(p, plan, s)[:2] for p, _ in state["order_keys"]]
+        own = [column(f"__key{i}") for i in range(len(keys))]
         if n.cursor is not None:
             values = paging.decode(self.secret, self.text, n.cursor)
-            for (col, t), v, (_, down) in zip(types, values, keys, strict=True):
-                bound.append((col, _raw(self.b, self.r, v, t), down))
+            bound = [(c, _raw(self.b, self.r, v, t), down) for c, t, v, (_, down) in zip(own, state["key_types"], values, keys, strict=True)]
             frame = frame.filter(paging.beyond(bound, after=not before))
         if before:
-            frame = frame.orderBy(*((c.asc_nulls_first() if down else c.desc_nulls_last()) for (c, _), (_, down) in zip(types, keys)))
-        frame = frame.limit(n.size + 1).withColumns({f"__key{i}": c for i, (c, _) in enumerate(types)})
-        return replace(plan, frame=frame, page=PageInfo(n.size, n.direction, keys, self.text))
+            frame = frame.orderBy(*(c.asc_nulls_first() if down else c.desc_nulls_last() for c, (_, down) in zip(own, keys)))
+        elif n.cursor is not None:
+            frame = frame.orderBy(*(c.desc_nulls_last() if down else c.asc_nulls_first() for c, (_, down) in zip(own, keys)))
+        return replace(plan, frame=frame.limit(n.size + 1), page=PageInfo(n.size, n.direction, keys, self.text))
+
+
+def _page_shape(p: N.Pipeline) -> N.Sort | None:
+    """The sort that the pipeline's page follows, after checks of what may stand beside a page; None without a page."""
+    pages = [i for i, x in enumerate(p.stages) if isinstance(x, N.Page)]
+    if not pages:
+        return None
+    at, place = pages[0], p.stages[pages[0]].place
+    before, after = p.stages[:at], p.stages[at + 1 :]
+    if len(pages) > 1:
+        raise QueryError("E_PAGE_SHAPE", "a query has one page", place)
+    if any(isinstance(x, N.Lookup) for x in before):
+        raise QueryError("E_PAGE_SHAPE", "a lookup follows the page", place)
+    for x in after:
+        if not isinstance(x, (N.Lookup, N.Select, N.Let)):
+            raise QueryError("E_PAGE_SHAPE", f"no {type(x).__name__.lower()} may follow a page", x.place)
+    for x in before:
+        if isinstance(x, (N.Take, N.Aggregate, N.Window, N.SetOperation)):
+            raise QueryError("E_PAGE_SHAPE", f"no {type(x).__name__.lower()} may stand beside a page", x.place)
+    sorts = [i for i, x in enumerate(before) if isinstance(x, N.Sort)]
+    if not sorts:
+        raise QueryError("E_PAGE_ORDER", "a page follows a sort", place)
+    for x in before[sorts[-1] + 1 :]:
+        if not isinstance(x, (N.Select, N.Let)):
+            raise QueryError("E_PAGE_SHAPE", f"no {type(x).__name__.lower()} may stand between the sort and the page", x.place)
+    return before[sorts[-1]]
+
+
+def _origin(state: dict, name: str) -> str | None:
+    """The source's field that a column's field holds unchanged."""
+    top, dot, rest = name.partition(".")
+    own = state["origin"].get(top)
+    return None if own is None else own + dot + rest
 
 
 def _raw(b: Binder, r: Registry, value: Any, t: Type) -> Column:
