@@ -262,6 +262,11 @@ class ReferenceDecl(Node):
     target_fields: list[Path]
 
 
+@dataclass
+class DropReference(Node):
+    reference: ReferenceDecl
+
+
 @dataclass
 class SequenceDecl(Node):
     name: str

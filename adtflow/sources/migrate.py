@@ -25,6 +25,9 @@ class Edits:
     fields: dict[tuple[str, str], str] = field(default_factory=dict)
     convert: dict[tuple[str, str], tuple[str, N.Node]] = field(default_factory=dict)
     variants: dict[tuple[str, str], str] = field(default_factory=dict)
+    #: by type and variant's name, which a dropped one keeps: the name of the old payload and the expression of the new payload or value
+    payloads: dict[tuple[str, str], tuple[str, N.Node]] = field(default_factory=dict)
+    dropped: dict[tuple[str, str], tuple[str, N.Node]] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
 
 
@@ -59,6 +62,13 @@ class Rebuild:
             return self.enum(x, own, to, name)
         raise QueryError("E_MIGRATION", f"{a!r} doesn't become {b!r} by itself; change the field with using")
 
+    def carried(self, x: Column, t: Type) -> Typed:
+        """An old value for an expression, in which types have their new names."""
+        new = t
+        for to, was in self.e.types.items():
+            new = _renamed(new, was, to)
+        return Typed(new, self.value(x, t, new))
+
     def touched(self, t: Type, seen: frozenset[str]) -> bool:
         """Whether a type's values can have changed below their own shape."""
         from adtflow.types import children
@@ -78,7 +88,7 @@ class Rebuild:
             if (name, f.name) in self.e.convert:
                 param, body = self.e.convert[name, f.name]
                 assert before is not None
-                col = self.b.bind(body, Scope({}, bound={param: Typed(before.type, get(source))}), f.type).col
+                col = self.b.bind(body, Scope({}, bound={param: self.carried(get(source), before.type)}), f.type).col
             elif before is not None:
                 col = self.value(get(source), before.type, f.type)
             elif f.has_default:
@@ -89,23 +99,47 @@ class Rebuild:
         return out
 
     def enum(self, x: Column, own: Enum, to: Enum, name: str) -> Column:
-        tag, slots = None, []
+        """Each variant's rows get their new tag and payload; those of dropped variants the value that their expression gives."""
+        tag, slots, whole = None, [], self.new.spark(to)
+        nothing = lambda v: F.lit(None).cast(self.new.spark(v.payload)).alias(v.name)
         for i, v in enumerate(to.variants):
             at = own.index(self.e.variants.get((name, v.name), v.name))
-            if at is not None:
+            if at is not None and (name, v.name) not in self.e.dropped:
                 tag = F.when(x.getField("tag") == at, i) if tag is None else tag.when(x.getField("tag") == at, i)
             if v.payload is None:
                 continue
             kind = self.new.spark(v.payload)
             before = own.variants[at].payload if at is not None else None
-            if before is None:
-                slots.append(F.lit(None).cast(kind).alias(v.name))
+            if (name, v.name) in self.e.payloads and at is not None:
+                value = self.computed(self.e.payloads[name, v.name], x, own, at, v.payload)
+                slots.append(F.when(x.getField("tag") == at, value).cast(kind).alias(v.name))
+            elif before is None:
+                slots.append(nothing(v))
             else:
                 slot = x.getField(own.variants[at].name)
                 slots.append(F.when(slot.isNotNull(), self.value(slot, before, v.payload)).cast(kind).alias(v.name))
         if tag is None:
             raise QueryError("E_MIGRATION", f"no variant of {name} is left")
-        return F.struct(tag.otherwise(F.raise_error(F.lit("E_MIGRATION: a row holds a dropped variant"))).alias("tag"), *slots)
+        out = F.struct(tag.otherwise(F.raise_error(F.lit("E_MIGRATION: a row holds a dropped variant"))).alias("tag"), *slots)
+        for (owner, gone), using in self.e.dropped.items():
+            if owner == name:
+                at = own.index(self.e.variants.get((name, gone), gone))
+                out = F.when(x.getField("tag") == at, self.computed(using, x, own, at, Named(name)).cast(whole)).otherwise(out.cast(whole))
+        return out
+
+    def computed(self, using: tuple[str, N.Node], x: Column, own: Enum, at: int, to: Type) -> Column:
+        """What an expression makes of the payload of a value's variant; its items are a tuple, unless there is one."""
+        param, body = using
+        payload = own.variants[at].payload
+        if payload is None:
+            old = Typed(Tuple(()), F.lit(None))
+        else:
+            slot = x.getField(own.variants[at].name)
+            single = isinstance(payload, Tuple) and len(payload.items) == 1
+            old = self.carried(slot.getField("_1") if single else slot, payload.items[0] if single else payload)
+        if isinstance(to, Tuple) and len(to.items) == 1:
+            return F.struct(self.b.bind(body, Scope({}, bound={param: old}), to.items[0]).col.alias("_1"))
+        return self.b.bind(body, Scope({}, bound={param: old}), to).col
 
 
 def _carried(t: Record, owner: str, r: Registry, e: Edits) -> Record:
@@ -177,8 +211,46 @@ def apply(work: Any, n: N.Migration) -> None:
             if t.row == owner and (t.key == name or any(c.split(".")[0] == name for i in t.indexes for c, _ in i.components)):
                 raise QueryError("E_MIGRATION", f"{name} is a key or part of an index", n.place)
 
+    late: list[Callable[[], None]] = []  # checks of rows, which are rebuilt first
     for what, args in n.steps:
-        if what == "add type":
+        if what == "add sequence":
+            work.sequencedecl(N.SequenceDecl(*args, place=n.place), None)
+        elif what in ("drop sequence", "rename sequence"):
+            if args[0] not in state.sequences or what == "rename sequence" and args[1] in state.sequences:
+                raise QueryError("E_SEQUENCE", f"there is no sequence {args[0]}, or one has the new name", n.place)
+            users = [(t, f) for t in state.tables.values() for f, how in t.generated.items() if how == f"next {args[0]}"]
+            if what == "drop sequence":
+                if users:
+                    raise QueryError("E_SEQUENCE", f"sequence {args[0]} is in use", n.place)
+                state.sequences.pop(args[0])
+            else:
+                state.sequences[args[1]] = state.sequences.pop(args[0])
+                for t, f in users:
+                    t.generated[f] = f"next {args[1]}"
+        elif what == "change generator":
+            t = table(args[0])
+            if record(t.row).get(args[1]) is None:
+                raise QueryError("E_MIGRATION", f"no field {args[1]}", n.place)
+            work.generator(record(t.row), args[1], args[2], n.place)
+            t.generated[args[1]] = args[2]
+        elif what == "add index":
+            late.append(lambda d=args[0]: work.indexdecl(d, None))
+        elif what == "drop index":
+            d = args[0]
+            t = table(d.table)
+            shape = tuple((".".join(p.parts), down) for p, down in d.components)
+            predicate = None if d.predicate is None else work.atoms(d.predicate)
+            found = [i for i in t.indexes if i.components == shape and i.predicate == predicate]
+            if not found:
+                raise QueryError("E_INDEX", f"{d.table} has no such index", n.place)
+            if any(r.target == d.table and r.target_fields == tuple(c for c, _ in shape) and r.target_fields != (t.key,) for r in state.references):
+                raise QueryError("E_INDEX", "a reference needs the index", n.place)
+            t.indexes.remove(found[0])
+        elif what == "add reference":
+            late.append(lambda d=args[0]: work.referencedecl(d, None))
+        elif what == "drop reference":
+            work.dropreference(N.DropReference(args[0], place=n.place), None)
+        elif what == "add type":
             if args[0] in types:
                 raise QueryError("E_MIGRATION", f"type {args[0]} exists", n.place)
             types[args[0]] = args[1]
@@ -194,7 +266,7 @@ def apply(work: Any, n: N.Migration) -> None:
             types.clear()
             types.update(renamed)
             edits.types[b] = edits.types.pop(a, a)
-            for m in (edits.fields, edits.convert, edits.variants):
+            for m in (edits.fields, edits.convert, edits.variants, edits.payloads, edits.dropped):
                 for k in [k for k in m if k[0] == a]:
                     m[b, k[1]] = m.pop(k)
             for t in state.tables.values():
@@ -259,12 +331,22 @@ def apply(work: Any, n: N.Migration) -> None:
             types[owner] = Record(tuple(x for g in record(owner).fields for x in ([now] if g.name == name else [g]) if x is not None))
         elif what == "add variant":
             types[args[0]] = Enum((*enum(args[0]).variants, args[1]))
+        elif what == "change variant":
+            owner, v = args[:2]
+            if enum(owner).index(v.name) is None:
+                raise QueryError("E_MIGRATION", f"no variant {owner}::{v.name}", n.place)
+            edits.payloads[owner, v.name] = args[2:]
+            types[owner] = Enum(tuple(v if x.name == v.name else x for x in enum(owner).variants))
         elif what in ("rename variant", "drop variant"):
             owner, name = args[:2]
             if enum(owner).index(name) is None:
                 raise QueryError("E_MIGRATION", f"no variant {owner}::{name}", n.place)
             if what == "rename variant":
                 edits.variants[owner, args[2]] = edits.variants.pop((owner, name), name)
+                if (owner, name) in edits.payloads:
+                    edits.payloads[owner, args[2]] = edits.payloads.pop((owner, name))
+            elif len(args) > 2:
+                edits.dropped[owner, name] = args[2:]
             types[owner] = Enum(tuple(replace(v, name=args[2]) if v.name == name and what == "rename variant" else v for v in enum(owner).variants if v.name != name or what == "rename variant"))
         else:
             raise QueryError("E_MIGRATION", f"unknown step {what}", n.place)
@@ -289,6 +371,8 @@ def apply(work: Any, n: N.Migration) -> None:
             t.segments = [work.write(source.select(*(c.alias(f.name) for f, c in zip(b.fields, cols)), "__row_id"))]
         if key_changed:
             work._unique(name, work.frame(name), work.frame(name).limit(0))
+    for check in late:
+        check()
 
 
 class _Before:
@@ -297,7 +381,7 @@ class _Before:
     def __init__(self, work: Any, state: Any):
         from adtflow.sources.store import _Work
 
-        self.work = _Work(work.store, state)
+        self.work = _Work(work.store, state, work.dry)
 
     def frame(self, name: str) -> Any:
         return self.work.frame(name)

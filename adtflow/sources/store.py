@@ -1,7 +1,8 @@
 """Managed tables: versioned Parquet segments and a manifest, changed by scripts that apply whole or not at all.
 
-A table is a list of immutable segments. Inserts add one; updates, deletes and migrations write a new one. Nothing is seen by
-readers until the manifest, which names the segments, is replaced in one step; segments of a failed script are left behind unseen.
+A table is a list of immutable segments. Inserts add one; updates and deletes write those anew that hold changed rows; migrations write
+a new one. Nothing is seen by readers until the next revision's manifest, which names the segments, is made in one step; segments of a
+failed script are left behind unseen.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import datetime as dt
 import decimal
 import hashlib
 import json
+import re
 import secrets
 import tempfile
 import time
@@ -19,7 +21,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,12 @@ from adtflow.types import INT, TIMESTAMP, UUID, Decimal, Enum, Field, List, Map,
 ROW_ID = "__row_id"
 MAX_STATEMENTS = 4096
 MAX_ROWS = 100_000
+KEPT_MANIFESTS = 16
+_MANIFEST = re.compile(r"manifest-([0-9]{12})\.json")
+
+
+def _manifest(revision: int) -> str:
+    return f"manifest-{revision:012}.json"
 
 
 # JSON forms
@@ -191,24 +200,33 @@ class Changed:
 
 
 class Store:
-    """Managed tables under a folder that all executors share; without one, under a temporary local folder."""
+    """Managed tables under a folder that all executors share: root, or else one in spark.checkpoint.dir, or in local mode a temporary one."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = (root or f"file://{tempfile.mkdtemp(prefix='adtflow-store-')}").rstrip("/")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not shared and not spark.sparkContext.master.startswith("local["):
+            raise QueryError("E_STORE", "a store on a cluster needs a root or spark.checkpoint.dir")
+        self.root = (root or (f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='adtflow-store-')}")).rstrip("/")
         text = self._read()
         self.state = State.load(text) if text else State()
 
-    # the manifest
-    def _fs(self):
+    # manifests: one file for each revision, made once and never changed; the highest holds
+    def _fs(self, name: str = ""):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.json")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         return jvm, path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _revisions(self) -> list[int]:
+        _, path, fs = self._fs()
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(m[1]) for m in map(_MANIFEST.fullmatch, names) if m)
+
     def _read(self) -> str | None:
-        jvm, path, fs = self._fs()
-        if not fs.exists(path):
+        found = self._revisions()
+        if not found:
             return None
+        jvm, path, fs = self._fs(_manifest(found[-1]))
         stream = fs.open(path)
         try:
             return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
@@ -216,20 +234,29 @@ class Store:
             stream.close()
 
     def _publish(self, state: State) -> None:
-        """Replaces the manifest in one rename; refuses if another writer was first."""
-        jvm, path, fs = self._fs()
-        current = self._read()
-        if (json.loads(current)["revision"] if current else 0) != self.state.revision:
-            raise QueryError("E_CONFLICT", "another script has changed the store")
+        """Makes the next revision's manifest, which only one writer can: the others are refused."""
         state.revision = self.state.revision + 1
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-{uuid.uuid4().hex}.json")
+        jvm, draft, fs = self._fs(f"draft-{uuid.uuid4().hex}")
+        _, path, _ = self._fs(_manifest(state.revision))
         out = fs.create(draft, True)
         out.write(bytearray(state.dump().encode()))
         out.close()
-        rename = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, path, rename)
+        try:
+            if fs.getUri().getScheme() == "file":  # a link, since renames of local files replace what is there
+                jvm.java.nio.file.Files.createLink(jvm.java.io.File(path.toUri().getPath()).toPath(), jvm.java.io.File(draft.toUri().getPath()).toPath())
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, path, none)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise QueryError("E_CONFLICT", "another script has changed the store") from e
+        finally:
+            fs.delete(draft, False)
         self.state = state
+        for old in self._revisions():  # readers of these have long read them
+            if old <= state.revision - KEPT_MANIFESTS:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{_manifest(old)}"), False)
 
     # reading
     def engine(self) -> Engine:
@@ -258,6 +285,28 @@ class Store:
             self._publish(work.state)
         return out
 
+    def preflight(self, migrations: str, queries: dict[str, str]) -> dict[str, dict[str, Any]]:
+        """How each query binds now and after the migrations, which aren't applied: its columns and parameters, or the error's code."""
+        work = _Work(self, copy.deepcopy(self.state), dry=True)
+        for n in parse(migrations):
+            if not isinstance(n, N.Migration):
+                raise QueryError("E_MIGRATION", "only migrations can be tried", n.place)
+            work.statement(n, {})
+
+        def bound(e: Engine, text: str) -> dict[str, Any]:
+            try:
+                p = e.prepare(text)
+            except QueryError as err:
+                return {"error": err.code, "place": err.place}
+            return {"columns": {k: repr(t) for k, t in p.columns.items()}, "params": {k: repr(t) for k, t in p.params.items()}}
+
+        now, then = _Work(self, self.state, dry=True).engine(), work.engine()
+        out = {}
+        for name in sorted(queries):
+            a, b = bound(now, queries[name]), bound(then, queries[name])
+            out[name] = {"now": a, "after": b, "changed": a != b, "valid": "error" not in b}
+        return out
+
     def explain_change(self, text: str) -> dict[str, Any]:
         """What a changing statement would check and touch, without running it."""
         (node,) = parse(text)
@@ -276,8 +325,9 @@ class Store:
 class _Work:
     """A candidate state that a script works on."""
 
-    def __init__(self, store: Store, state: State):
-        self.store, self.state, self.spark, self.dirty, self.last = store, state, store.spark, False, None
+    def __init__(self, store: Store, state: State, dry: bool = False):
+        """dry: only types and names are checked; no rows are read or written."""
+        self.store, self.state, self.spark, self.dirty, self.last, self.dry = store, state, store.spark, False, None, dry
 
     # tables
     def registry(self) -> Registry:
@@ -299,9 +349,24 @@ class _Work:
         """A table's rows with their hidden ids."""
         t, r = self.table(name), self.registry()
         schema = T.StructType([*r.spark(self.row_type(t)).fields, T.StructField(ROW_ID, T.LongType())])
-        if not t.segments:
+        return self._segments(t.segments, schema)
+
+    def _segments(self, names: list[str], schema: T.StructType) -> DataFrame:
+        if not names or self.dry:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.store.root}/{s}" for s in t.segments))
+        return self.spark.read.schema(schema).parquet(*(f"{self.store.root}/{s}" for s in names))
+
+    def _replace(self, name: str, ids: DataFrame, new: DataFrame | None) -> None:
+        """Writes the segments anew that hold rows with these ids (column __id), without them and with the new rows."""
+        t, frame = self.table(name), self.frame(name)
+        place = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[0-9a-f]{32})", 1)
+        held = {r[0] for r in frame.select(ROW_ID, place.alias("__segment")).join(ids, F.col(ROW_ID) == F.col("__id"), "left_semi").select("__segment").distinct().collect()} if t.segments else set()
+        rest = self._segments([s for s in t.segments if s in held], frame.schema).join(ids, F.col(ROW_ID) == F.col("__id"), "left_anti")
+        out = rest if new is None else rest.unionByName(new)
+        t.segments = [s for s in t.segments if s not in held]
+        if new is not None or not rest.isEmpty():
+            t.segments.append(self.write(out))
+        self.dirty = True
 
     def source(self, name: str) -> Source:
         t = self.table(name)
@@ -317,6 +382,8 @@ class _Work:
 
     def write(self, df: DataFrame) -> str:
         name = f"data/{uuid.uuid4().hex}"
+        if self.dry:
+            return name
         df.write.parquet(f"{self.store.root}/{name}")
         self.dirty = True
         return name
@@ -366,14 +433,18 @@ class _Work:
             if row.get(name) is None:
                 raise QueryError("E_FIELD", f"{n.row} has no field {name}", n.place)
         for name, how in n.generated.items():
-            want = {"uuid_v7": UUID, "now": TIMESTAMP}.get(how, INT)
-            if self.registry().resolve(row.get(name).type) != want:
-                raise QueryError("E_TYPE", f"{name} can't be generated as {how}", n.place)
-            if how.startswith("next ") and how[5:] not in self.state.sequences:
-                raise QueryError("E_SEQUENCE", f"unknown sequence {how[5:]}", n.place)
+            self.generator(row, name, how, n.place)
         self.state.tables[n.name] = Table(n.row, n.key, dict(n.generated))
         self.dirty = True
 
+    def generator(self, row: Record, name: str, how: str, place: N.Place) -> None:
+        """Checks that a field can be generated so."""
+        want = {"uuid_v7": UUID, "now": TIMESTAMP}.get(how, INT)
+        if self.registry().resolve(row.get(name).type) != want:
+            raise QueryError("E_TYPE", f"{name} can't be generated as {how}", place)
+        if how.startswith("next ") and how[5:] not in self.state.sequences:
+            raise QueryError("E_SEQUENCE", f"unknown sequence {how[5:]}", place)
+
     def sequencedecl(self, n: N.SequenceDecl, params: Any) -> None:
         if n.name in self.state.sequences:
             raise QueryError("E_SEQUENCE", f"sequence {n.name} is already declared", n.place)
@@ -391,7 +462,7 @@ class _Work:
         if n.predicate is not None:
             if not n.unique:
                 raise QueryError("E_INDEX_PREDICATE", "only unique indexes take a predicate", n.place)
-            predicate = _atoms(n.predicate)
+            predicate = self.atoms(n.predicate)
             b.condition(n.predicate, s)
         index = Index(tuple((".".join(p.parts), d) for p, d in n.components), n.unique, predicate is not None, predicate)
         if any(i.components == index.components and i.predicate == index.predicate for i in t.indexes):
@@ -402,6 +473,8 @@ class _Work:
             self._refuse(keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), f"{n.table} has duplicates for the unique index")
         self.dirty = True
 
+    atoms = staticmethod(lambda predicate: _atoms(predicate))
+
     def referencedecl(self, n: N.ReferenceDecl, params: Any) -> None:
         fields = [tuple(".".join(p.parts) for p in ps) for ps in (n.source_fields, n.target_fields)]
         r = Reference(n.source, fields[0], n.target, fields[1])
@@ -413,10 +486,20 @@ class _Work:
         unique = [(self.table(n.target).key,), *(tuple(c for c, _ in i.components) for i in self.table(n.target).indexes if i.unique and not i.partial)]
         if len(fields[0]) != len(fields[1]) or fields[1] not in unique:
             raise QueryError("E_REFERENCE", "a reference targets a key or a unique index", n.place)
+        if r in self.state.references:
+            raise QueryError("E_REFERENCE", "the reference exists", n.place)
         self.state.references.append(r)
         self._missing(r, self.frame(n.source))
         self.dirty = True
 
+    def dropreference(self, n: N.DropReference, params: Any) -> None:
+        d = n.reference
+        r = Reference(d.source, tuple(".".join(p.parts) for p in d.source_fields), d.target, tuple(".".join(p.parts) for p in d.target_fields))
+        if r not in self.state.references:
+            raise QueryError("E_REFERENCE", "there is no such reference", n.place)
+        self.state.references.remove(r)
+        self.dirty = True
+
     def expect(self, n: N.Expect, params: Any) -> None:
         have = self.last.affected if self.last is not None else 0
         if not {"==": have == n.count, "!=": have != n.count, ">": have > n.count, ">=": have >= n.count, "<": have < n.count, "<=": have <= n.count}[n.op]:
@@ -424,7 +507,7 @@ class _Work:
 
     # constraints
     def _refuse(self, bad: DataFrame, message: str) -> None:
-        if bad.limit(1).count():
+        if not self.dry and not bad.isEmpty():
             raise QueryError("E_CONSTRAINT", message)
 
     def _key(self, name: str, fields: tuple[str, ...]) -> Column:
@@ -517,15 +600,15 @@ class _Work:
             found = self.read_segment(segment)
             actions = ["updated" if x["__old"] is not None else "inserted" for x in found.orderBy("__order").select("__old").collect()]
             fresh = found.select(*map(column, schema.names), "__order")
-            kept = self.frame(n.table).join(found.select(F.col(ROW_ID).alias("__id")), F.col(ROW_ID) == F.col("__id"), "left_anti")
-            replaced = self.frame(n.table).join(found.select(F.col(ROW_ID).alias("__id")), F.col(ROW_ID) == F.col("__id"), "left_semi") if "updated" in actions else None
+            ids = found.select(F.col(ROW_ID).alias("__id"))
+            kept = self.frame(n.table).join(ids, F.col(ROW_ID) == F.col("__id"), "left_anti")
             new = fresh.drop("__order")
             self._unique(n.table, new, kept)
-            if replaced is None:
+            if "updated" not in actions:
                 t.segments = [*t.segments, self.write(new)]
             else:
-                gone = self.read_segment(self.write(replaced))
-                t.segments = [self.write(kept.unionByName(new))]
+                gone = self.read_segment(self.write(self.frame(n.table).join(ids, F.col(ROW_ID) == F.col("__id"), "left_semi")))
+                self._replace(n.table, ids, new)
                 self._references(n.table, None, gone)
             self._references(n.table, new, None)
         else:
@@ -543,15 +626,15 @@ class _Work:
         got = rows.orderBy(order).select(*(x.col.alias(k) for k, x in chosen.items())).collect()
         return [{k: r.decode(x.type, row[k]) for k, x in chosen.items()} for row in got], actions, {k: x.type for k, x in chosen.items()}
 
-    def _target(self, table: str, stages: list[N.Node], params: dict[str, Any]) -> DataFrame:
+    def _target(self, table: str, stages: list[N.Node], params: dict[str, Any], returning: bool) -> DataFrame:
         source = self.source(table)
         low = Lowering(self.registry(), {table: replace(source, frame=lambda: self.frame(table).orderBy(ROW_ID) if any(isinstance(s, N.Take) for s in stages) and not any(isinstance(s, N.Sort) for s in stages) else self.frame(table))}, Binder(self.registry(), params))
         plan: Plan = low.pipeline(N.Pipeline(table, stages))
         sort = next((s for s in reversed(stages) if isinstance(s, N.Sort)), None)
+        if not returning:
+            return plan.frame.withColumn("__order", F.lit(0))
         order = low.order(sort.keys, plan, Scope(plan.columns)) if sort else [F.col(ROW_ID)]
-        from pyspark.sql import Window
-
-        # the order in which rows were chosen, for returning alone: the rows of a change are few
+        # the order in which rows were chosen; they are returned to the driver
         return plan.frame.withColumn("__order", F.row_number().over(Window.orderBy(*order, ROW_ID)))
 
     def images(self, n: N.Update, params: dict[str, Any], preparing: bool = False) -> list[tuple[str, list[str], Any]]:
@@ -567,9 +650,10 @@ class _Work:
         return out
 
     def update(self, n: N.Update, params: dict[str, Any]) -> Changed:
-        t, source, r = self.table(n.table, n.place), self.source(n.table), self.registry()
+        self.table(n.table, n.place)
+        source, r = self.source(n.table), self.registry()
         sets = self.images(n, params)
-        target = self._target(n.table, n.target, params)
+        target = self._target(n.table, n.target, params, n.returning is not None)
         news: dict[str, Column] = {}
         for top, path, x in sets:
             value = x.col.cast(r.spark(x.type))
@@ -579,18 +663,19 @@ class _Work:
         affected = changed.count()
         if affected:
             new = changed.drop("__order", "__before")
-            rest = self.frame(n.table).join(changed.select(F.col(ROW_ID).alias("__id")), F.col(ROW_ID) == F.col("__id"), "left_anti")
-            self._unique(n.table, new, rest)
-            t.segments = [self.write(rest.unionByName(new))]
+            ids = changed.select(F.col(ROW_ID).alias("__id"))
+            self._unique(n.table, new, self.frame(n.table).join(ids, F.col(ROW_ID) == F.col("__id"), "left_anti"))
+            self._replace(n.table, ids, new)
             self._references(n.table, new, changed.select("__before.*"))
         return Changed(affected, *self._returned(n.returning, changed, source, "__order"))
 
     def delete(self, n: N.Delete, params: dict[str, Any]) -> Changed:
-        t, source = self.table(n.table, n.place), self.source(n.table)
-        gone = self.read_segment(self.write(self._target(n.table, n.target, params)))
+        self.table(n.table, n.place)
+        source = self.source(n.table)
+        gone = self.read_segment(self.write(self._target(n.table, n.target, params, n.returning is not None)))
         affected = gone.count()
         if affected:
-            t.segments = [self.write(self.frame(n.table).join(gone.select(F.col(ROW_ID).alias("__id")), F.col(ROW_ID) == F.col("__id"), "left_anti"))]
+            self._replace(n.table, gone.select(F.col(ROW_ID).alias("__id")), None)
             self._references(n.table, None, gone)
         return Changed(affected, *self._returned(n.returning, gone, source, "__order"))
 
