@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -20,8 +21,10 @@ from adtflow.llm.shared import map_arrow
 
 #: Fixed value: how this vocabulary's pre-tokeniser splits text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for text of ASCII alone, where white space, letters and digits are these; Python's own engine is faster there.
+ASCII_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 #: Words kept between batches in a Python worker; beyond it the memory is emptied, which costs time only.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 #: Pairs of tokens whose seam is remembered.
 KEPT_PAIRS = 400_000
 #: Longer words, in characters, are encoded but not kept.
@@ -46,7 +49,6 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens", ())}
         self.bytes_of = {i: raw(s) for s, i in model["vocab"].items() if s not in self.special}
         self.id_of = {b: i for i, b in self.bytes_of.items()}
-        self.longest = max(map(len, self.id_of))
         self.rank: dict[tuple[int, int], int] = {}
         parts: dict[int, tuple[int, int, int]] = {}
         for n, pair in enumerate(model["merges"]):
@@ -66,12 +68,22 @@ class Codec:
         self._apart: dict[int, bool] = {}
         # a token that its own bytes don't encode to can never be made
         self.id_of = {b: i for b, i in self.id_of.items() if self.merge(b) == [i]}
-        self._split = regex.compile(SPLIT)
+        self._ends = self._token_ends()
+        self._split, self._ascii_split = regex.compile(SPLIT), re.compile(ASCII_SPLIT)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._special_bytes = {i: s.encode() for s, i in self.special.items()}
         self._ids: dict[str, str] = {}
+        #: words that decode to something else than themselves
         self._back: dict[str, bytes] = {}
 
+    def _token_ends(self) -> dict[bytes, tuple[tuple[int, int], ...]]:
+        """By each token's prefix: the tokens that it ends with and their lengths, longest first."""
+        out: dict[bytes, tuple[tuple[int, int], ...]] = {b"": ()}
+        for p in sorted({b[:i] for b in self.id_of for i in range(1, len(b) + 1)}, key=len):
+            shorter = next(out[p[i:]] for i in range(1, len(p) + 1) if p[i:] in out)
+            out[p] = ((self.id_of[p], len(p)), *shorter) if p in self.id_of else shorter
+        return out
+
     def merge(self, word: bytes) -> list[int]:
         """The definition itself: merges the pair of the lowest rank, leftmost first. For the few bytes of one token only."""
         ids = [self._byte_id(b) for b in word]
@@ -104,10 +116,14 @@ class Codec:
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Distinct words to ids. Sorted, they are the trie in depth-first order; the stack holds the states on the path."""
-        id_of, longest, apart, look = self.id_of, self.longest, self._apart.get, self.stay_apart
+        """Distinct words to ids. Sorted, they are the trie in depth-first order; the stacks hold the states on the path.
+
+        Beside its last token, a node has the length of the longest token's prefix that its path ends with: the tokens that may end
+        there are those which that prefix ends with.
+        """
+        ends, apart, look = self._ends.get, self._apart.get, self.stay_apart
         out: dict[bytes, list[int]] = {}
-        last, back, path = [-1], [0], b""
+        last, back, size, path = [-1], [0], [0], b""
         for word in sorted(set(words)):
             shared, most = 0, min(len(path), len(word))
             if word[:most] == path[:most]:
@@ -115,18 +131,24 @@ class Codec:
             else:
                 while word[shared] == path[shared]:
                     shared += 1
-            del last[shared + 1 :], back[shared + 1 :]
+            del last[shared + 1 :], back[shared + 1 :], size[shared + 1 :]
+            n = size[shared]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = id_of.get(word[start:end])
-                    if t is not None:
-                        before = last[start]
-                        if start == 0 or ((known := apart(before << 32 | t)) or (known is None and look(before, t))):
-                            last.append(t)
-                            back.append(start)
-                            break
+                n += 1
+                while (tokens := ends(word[end - n : end])) is None:
+                    n -= 1
+                for t, length in tokens:
+                    start = end - length
+                    if start == 0:
+                        break
+                    before = last[start]
+                    if (known := apart(before << 32 | t)) or (known is None and look(before, t)):
+                        break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
+                last.append(t)
+                back.append(start)
+                size.append(n)
             path, ids, end = word, [], len(word)
             while end:
                 ids.append(last[end])
@@ -136,9 +158,10 @@ class Codec:
 
     def pieces(self, text: str) -> list[list[str]]:
         """Words between special tokens: even places hold words, odd ones a single special token."""
+        split = (self._ascii_split if text.isascii() else self._split).findall
         if self._specials is None or not any(s in text for s in self.special):
-            return [self._split.findall(text)]
-        return [[x] if i % 2 else self._split.findall(x) for i, x in enumerate(self._specials.split(text))]
+            return [split(text)]
+        return [[x] if i % 2 else split(x) for i, x in enumerate(self._specials.split(text))]
 
     def encode(self, text: str) -> list[int]:
         out = []
@@ -156,18 +179,22 @@ class Codec:
         return b"".join(self.bytes_of[i] if i in self.bytes_of else self._special_bytes[i] for i in ids).decode("utf-8", "replace")
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text: number of ids, SHA-256 of the ids in decimal and commas, SHA-256 of the decoded text."""
+        """For each text: number of ids, SHA-256 of the ids in decimal and commas, SHA-256 of the decoded text.
+
+        Each distinct word is encoded, and decoded from its ids, once; a word that decodes to itself, as all should, needs no copy.
+        """
         split = [self.pieces(t) for t in texts]
         if len(self._ids) > KEPT_WORDS:
             self._ids.clear()
             self._back.clear()
-        known_ids, known_back = self._ids, self._back
-        new = set().union(*(words for pieces in split for words in pieces[::2])).difference(known_ids)
+        known, changed = self._ids, self._back
+        new = set().union(*(words for pieces in split for words in pieces[::2])).difference(known)
         raw = {w.encode(): w for w in new}
         for b, ids in self.encode_words(raw).items():
             w = raw[b]
-            known_ids[w] = ",".join(map(str, ids))
-            known_back[w] = b"".join(map(self.bytes_of.__getitem__, ids))
+            known[w] = ",".join(map(str, ids))
+            if (decoded := b"".join(map(self.bytes_of.__getitem__, ids))) != b:
+                changed[w] = decoded
         out = []
         for pieces in split:
             text, back = [], []
@@ -176,14 +203,15 @@ class Codec:
                     text.append(str(self.special[words[0]]))
                     back.append(words[0].encode())
                 elif words:
-                    text.append(",".join(map(known_ids.__getitem__, words)))
-                    back.append(b"".join(map(known_back.__getitem__, words)))
+                    text.append(",".join(map(known.__getitem__, words)))
+                    back.append(b"".join(changed[w] if w in changed else w.encode() for w in words) if changed else "".join(words).encode())
             ids = ",".join(text)
             decoded = b"".join(back).decode("utf-8", "replace").encode()
             out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         for w in new:
             if len(w) > KEPT_LENGTH:
-                del known_ids[w], known_back[w]
+                del known[w]
+                changed.pop(w, None)
         return out
 
 
