@@ -87,6 +87,7 @@ class Prepared:
 class Engine:
     def __init__(self, spark: SparkSession, secret: bytes = b"adtflow"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", 1001)  # the largest lookup's ranks are cut before the shuffle too
         ship_package(spark)
         self.spark, self.secret = spark, secret
         self.registry = Registry()
@@ -181,6 +182,15 @@ class Engine:
                 raise QueryError("E_CONSTRAINT", f"the key {keys[row['__position']]!r} occurs twice")
         return out
 
+    def typed_fetch_by_key(self, table: str, keys: Sequence[Any], cls: type) -> list[Any]:
+        """fetch_by_key with each row as an instance of a dataclass that has the fields and types of the table's row."""
+        from adtflow.sources.schema import struct_of
+
+        src = self.sources.get(table)
+        if src is None or struct_of(cls, self.registry) != self.registry.resolve(src.row):
+            raise QueryError("E_TYPE", f"{cls.__name__} isn't the row of {table}")
+        return [None if row is None else cls(**row) for row in self.fetch_by_key(table, keys)]
+
     def fetch_frame(self, table: str, keys: Sequence[Any]) -> DataFrame:
         src = self.sources[table]
         kind = self.registry.spark(src.columns[src.key])

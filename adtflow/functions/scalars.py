@@ -257,7 +257,7 @@ FUNCTIONS: dict[str, Function] = {
     "decimal_div": Function((None, None), _decimal_two(A.divide_decimal), 3),
     "to_text": Function((None,), lambda r, x: Typed(TEXT, to_text(_scalar(r, x), x.col))),
     "uuid_parse": Function((TEXT,), _of(UUID, lambda x: _parsed(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", x, F.lower(x), "UUID"))),
-    "bytes_parse_hex": Function((TEXT,), _of(BYTES, lambda x: _parsed(r"^([0-9a-f]{2})*$", x, F.unhex(x), "even number of hex digits"))),
+    "bytes_parse_hex": Function((TEXT,), _of(BYTES, lambda x: _parsed(r"^([0-9a-fA-F]{2})*$", x, F.unhex(x), "even number of hex digits"))),
     "date_parse": Function((TEXT,), _of(DATE, lambda x: _parsed(r"^(?!0000)\d{4}-\d\d-\d\d$", x, x.cast("date"), "date"))),
     "timestamp_parse": Function((TEXT,), _of(TIMESTAMP, _parse_timestamp)),
     "duration_parse": Function((TEXT,), _of(DURATION, _parse_duration)),

@@ -18,13 +18,23 @@ def keep_matching(rows: DataFrame, target: DataFrame, condition: Column, negated
     return rows.join(target, condition, "left_anti" if negated else "left_semi")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of df, from its files' sizes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def lookup(rows: DataFrame, target: DataFrame, name: str, target_key: Column, source_key: Column, limit: int, order: Sequence[Column], item: Column, null_safe: bool) -> DataFrame:
     """rows with a list of the target's matching rows, at most limit, in order; more than limit is an error.
 
-    Only limit + 1 rows of a key are ever gathered: the ranks are cut off before the shuffle, so that a frequent key stays cheap.
+    Only limit + 1 rows of a key are ever gathered: the ranks are cut off before the shuffle, so that a frequent key stays cheap. Where
+    the rows are the smaller side, as far as Spark knows, the target is first cut to their keys by a semi join.
     """
     key, rank = "__lookup_key", "__lookup_rank"
-    ranked = target.withColumn(key, target_key).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(rank) <= limit + 1)
+    target = target.withColumn(key, target_key)
+    if estimated_bytes(rows) < estimated_bytes(target):
+        asked = rows.select(source_key.alias("__source_key")).distinct()
+        target = target.join(asked, F.col(key).eqNullSafe(F.col("__source_key")) if null_safe else F.col(key) == F.col("__source_key"), "left_semi")
+    ranked = target.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(rank) <= limit + 1)
     pairs = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("rank"), item.alias("item"))))
     found = ranked.groupBy(key).agg(pairs.alias("__items"))
     same = F.col("__source_key").eqNullSafe(F.col(key)) if null_safe else F.col("__source_key") == F.col(key)

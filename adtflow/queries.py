@@ -74,8 +74,8 @@ sort {l_returnflag, l_linestatus}""",
         "SELECT event_id, (user_id - 50) // 7 AS q, -(user_id - 50) AS m FROM events",
     ),
     "arith_float": (
-        "from lineitem | derive v = (l_extendedprice - 100.0) * (1.0 + l_tax) / 4.0 | filter l_quantity > 49.0 | select {l_orderkey, l_linenumber, l_partkey, v}",
-        "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, round((l_extendedprice - 100.0) * (1.0 + l_tax) / 4.0, 7) AS v FROM lineitem WHERE l_quantity > 49",
+        "from lineitem | derive v = (l_extendedprice - 100.0) * (1.0 + l_tax) / 4.0 | select {l_orderkey, l_linenumber, l_partkey, v}",
+        "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, round((l_extendedprice - 100.0) * (1.0 + l_tax) / 4.0, 7) AS v FROM lineitem",
     ),
     "let_functions": (
         "from lineitem\nlet cheap = v -> v < 2000.0\nlet net = (p: float, d: float) -> p * (1.0 - d)\nlet limit = 10.0\nfilter cheap l_extendedprice && l_quantity < limit\naggregate { n = count, total = sum (net l_extendedprice l_discount) }",
@@ -86,8 +86,8 @@ sort {l_returnflag, l_linestatus}""",
         "SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, concat(trim('  ' || p_type), '!') AS both, substring(p_name, 2, 3) AS cut, length(p_name) AS n FROM part",
     ),
     "text_predicates": (
-        'from part | filter (starts_with p_brand "Brand#1" || ends_with p_type "STEEL") && contains_text p_name "1" | select {p_partkey, p_brand, p_type}',
-        "SELECT p_partkey, p_brand, p_type FROM part WHERE (starts_with(p_brand, 'Brand#1') OR ends_with(p_type, 'STEEL')) AND contains(p_name, '1')",
+        'from part | filter (starts_with p_brand "Brand#1" || ends_with p_type "MO") && contains_text p_name "ring" | select {p_partkey, p_brand, p_type}',
+        "SELECT p_partkey, p_brand, p_type FROM part WHERE (starts_with(p_brand, 'Brand#1') OR ends_with(p_type, 'MO')) AND contains(p_name, 'ring')",
     ),
     "int_to_float": ("from part | derive x = int_to_float p_size * 1.5 | select {p_partkey, x}", "SELECT p_partkey, p_size * 1.5::DOUBLE AS x FROM part"),
     "float_to_int_modes": (
@@ -172,8 +172,8 @@ select {p_partkey, m, q, r, s}""",
         "SELECT c_nationkey::BIGINT AS key FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier",
     ),
     "except_distinct": (
-        "from nation | select {key = n_nationkey} | except { from supplier | filter s_acctbal > 0.0 | select {key = s_nationkey} }",
-        "SELECT n_nationkey::BIGINT AS key FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0",
+        "from nation | select {key = n_nationkey} | except { from supplier | filter s_acctbal > 9000.0 | select {key = s_nationkey} }",
+        "SELECT n_nationkey::BIGINT AS key FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000",
     ),
     "set_then_sort_take": (
         "from customer | select {key = c_custkey} | union { from part | select {key = p_partkey} } | sort -key | take 5",
@@ -198,8 +198,8 @@ select {p_partkey, m, q, r, s}""",
         "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > c.c_acctbal * 45)",
     ),
     "lookup_lines": (
-        "from orders\nfilter o_orderkey < 2000\nlookup lines from lineitem on l_orderkey == o_orderkey take 20\nderive {n = length lines, large = any lines (x -> x.l_quantity > 40.0), positive = all lines (x -> x.l_extendedprice > 0.0)}\nselect {o_orderkey, n, large, positive}",
-        "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(bool_or(l_quantity > 40), false) AS large, coalesce(bool_and(l_extendedprice > 0), true) AS positive FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY 1",
+        "from orders\nlookup lines from lineitem on l_orderkey == o_orderkey take 20\nderive {n = length lines, large = any lines (x -> x.l_quantity > 40.0), positive = all lines (x -> x.l_extendedprice > 0.0)}\nselect {o_orderkey, n, large, positive}",
+        "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(bool_or(l_quantity > 40), false) AS large, coalesce(bool_and(l_extendedprice > 0), true) AS positive FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     ),
     "match_enum_label": (
         """from events
@@ -234,6 +234,66 @@ select {event_id, shown}""",
         "from events\nderive kind = match_kind\nfilter kind != Kind::Trouble {what: \"error\"}\ngroup kind { aggregate { n = count } }\naggregate { groups = count, rows = sum n }",
         "",
     ),
+    "is_none_in_options": (
+        "from events | derive maybe = match_value | filter is_none maybe || maybe in [Some(1.5), None] || maybe > Some(90.0) | select {event_id}",
+        "SELECT event_id FROM events WHERE event_type = 'error' OR value = 1.5 OR value > 90",
+    ),
+    "maps": (
+        """from events
+derive m = {"user": user_id, "id": event_id, "x": 7}
+select {event_id, has = contains_key m "user", lacks = contains_key m event_type, got = get m "id", none = get m "nothing", ks = keys m, vs = values m, n = length (entries m)}""",
+        "SELECT event_id, true AS has, false AS lacks, event_id AS got, NULL::BIGINT AS none, ['id', 'user', 'x'] AS ks, [event_id, user_id, 7] AS vs, 3::BIGINT AS n FROM events",
+    ),
+    "parse_functions": (
+        """from part
+derive key = to_text (1000000000 + p_partkey)
+derive {
+  uid = uuid_parse (concat (concat (substring key 2 10) "-00AB-7000-8000-0000") (substring key 2 10))
+  raw = bytes_parse_hex (concat key "aAfF")
+  day = date_parse (concat "2024-0" (concat (to_text (1 + p_size / 10)) "-15"))
+  at = timestamp_parse "2024-01-31T23:30:00.25-02:00"
+  span = duration_parse (concat (to_text p_size) "minutes")
+}
+derive {later = at + span, hex = to_text raw, bytes = length raw, words = to_text span}
+select {p_partkey, uid, hex, bytes, day, later, words}""",
+        """SELECT p_partkey, substr(k, 3) || '-00ab-7000-8000-0000' || substr(k, 3) AS uid, k || 'aaff' AS hex, 7::BIGINT AS bytes, ('2024-0' || (1 + p_size // 10) || '-15')::DATE AS day,
+  TIMESTAMP '2024-02-01 01:30:00.25' + to_minutes(p_size) AS later, CASE WHEN p_size = 0 THEN '0microseconds' WHEN p_size % 60 = 0 THEN (p_size // 60) || 'hours' ELSE p_size || 'minutes' END AS words
+  FROM (SELECT *, (1000000000 + p_partkey)::VARCHAR AS k FROM part)""",
+    ),
+    "contains_bytes": (
+        """from part
+derive raw = bytes_parse_hex (to_text (1000000000 + p_partkey * 7919))
+filter contains raw (bytes "17") || raw == bytes "1000000000"
+select {p_partkey, n = length raw}""",
+        "SELECT p_partkey, 5::BIGINT AS n FROM part, (SELECT (1000000000 + p_partkey * 7919)::VARCHAR AS h, p_partkey AS k FROM part) WHERE k = p_partkey AND (h = '1000000000' OR contains(regexp_replace(h, '(..)', '\\1 ', 'g'), '17 '))",
+    ),
+    "decimal_parse_rescale": (
+        """from part
+derive {
+  d = decimal_parse (concat (to_text (p_size - 25)) ".25") 8 2
+  w = decimal_rescale (int_to_decimal p_size 6 0) 12 3
+}
+select {p_partkey, d, w, same = decimal_rescale w 6 0, cut = decimal_round d 8 0 "half_even", up = decimal_round d 8 1 "away_from_zero"}""",
+        """SELECT p_partkey, d, p_size::DECIMAL(12,3) AS w, p_size::DECIMAL(6,0) AS same, round(d)::DECIMAL(8,0) AS cut, (sign(d) * ceil(abs(d) * 10) / 10)::DECIMAL(8,1) AS up
+  FROM (SELECT *, ((p_size - 25) || '.25')::DECIMAL(8,2) AS d FROM part)""",
+    ),
+    "averages": (
+        """from events
+derive gap = ts - @2024-01-01T00:00:00Z
+derive secs = timestamp_trunc ts "second" "Z" - @2024-01-01T00:00:00Z
+group event_type { aggregate { mean_user = avg user_id, users = sum user_id, longest = max gap, total = sum secs, n = count } }
+filter is_some longest
+select {event_type, mean_user, users, total, n}""",
+        """SELECT event_type, avg(user_id) AS mean_user, sum(user_id)::BIGINT AS users, to_microseconds(sum(epoch_us(date_trunc('second', ts)) - epoch_us(TIMESTAMP '2024-01-01'))::BIGINT) AS total, count(*) AS n FROM events GROUP BY 1""",
+    ),
+    "to_text_kinds": (
+        'from part | select {p_partkey, f = to_text p_retailprice, whole = to_text (int_to_float p_size), flag = to_text (p_size > 25), day = to_text @2024-02-29, at = to_text (@2024-02-29T12:00:00Z + 90seconds)}',
+        "SELECT p_partkey, p_retailprice::VARCHAR AS f, p_size || '.0' AS whole, (p_size > 25)::VARCHAR AS flag, '2024-02-29' AS day, '2024-02-29T12:01:30Z' AS at FROM part",
+    ),
+    "order_of_compound_values": (
+        "from part | filter (p_size, p_brand) >= (25, \"Brand#2\") && [p_size, 3] < [40, 1] | sort {p_size, p_partkey} | take 100 | select {p_partkey, p_size}",
+        "SELECT p_partkey, p_size::BIGINT AS p_size FROM part WHERE (p_size > 25 OR p_size = 25 AND p_brand >= 'Brand#2') AND p_size < 40 ORDER BY p_size, p_partkey LIMIT 100",
+    ),
     "page_after_sort": ("from orders | sort {-o_totalprice, o_orderkey} | page 25 | select {o_orderkey, o_totalprice}", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 26"),
 }
 
@@ -274,7 +334,7 @@ _SQL = {
     "option_match": """SELECT event_id, CASE WHEN event_type <> 'error' THEN value ELSE -1 END AS shown FROM events WHERE event_type <> 'error'""",
     "enum_equality_group": """SELECT count(*) AS groups, sum(n)::BIGINT AS rows FROM (SELECT CASE WHEN event_type = 'purchase' THEN value END AS v, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1)""",
 }
-_TYPED = ("count_distinct_none", "match_enum_label", "option_match", "enum_equality_group")
+_TYPED = ("is_none_in_options", "count_distinct_none", "match_enum_label", "option_match", "enum_equality_group")
 _ROUNDED = ("flagship", "arith_float", "let_functions", "agg_global", "group_having", "top_k")
 
 

@@ -188,18 +188,28 @@ def struct_of(cls: type, registry: Registry) -> Record:
 
 
 def backup(store: Store, target: str) -> dict[str, Any]:
-    """Copies a store's published segments and its manifest, last, to an empty folder; returns what was copied."""
-    jvm = store.spark.sparkContext._jvm
+    """Copies a store's published segments and then its manifest to a folder; returns what was copied.
+
+    Segments never change, so that a folder that holds an earlier revision of the same store gets the new ones alone. Opening the
+    folder as a store restores it; backing up that store to another folder puts it elsewhere.
+    """
+    from adtflow.sources.store import Store as Opened
+    from adtflow.sources.store import _manifest
+
+    jvm, target = store.spark.sparkContext._jvm, target.rstrip("/")
     conf = store.spark.sparkContext._jsc.hadoopConfiguration()
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     to = path(target).getFileSystem(conf)
-    if to.exists(path(f"{target}/manifest.json")):
-        raise QueryError("E_BACKUP", f"{target} holds a store already")
-    segments = [s for t in store.state.tables.values() for s in t.segments]
-    for s in segments:
+    before = Opened(store.spark, target).state
+    there = {s for t in before.tables.values() for s in t.segments}
+    if before.revision and (before.identity != store.state.identity or before.revision > store.state.revision):
+        raise QueryError("E_BACKUP", f"{target} holds another store, or a later revision")
+    missing = [s for t in store.state.tables.values() for s in t.segments if s not in there]
+    for s in missing:
         source = path(f"{store.root}/{s}")
         jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, to, path(f"{target}/{s}"), False, conf)
-    out = to.create(path(f"{target}/manifest.json"), False)
-    out.write(bytearray(store.state.dump().encode()))
-    out.close()
-    return {"revision": store.state.revision, "segments": len(segments), "schema": portable(store.state)["hash"]}
+    if before.revision != store.state.revision:
+        out = to.create(path(f"{target}/{_manifest(store.state.revision)}"), False)
+        out.write(bytearray(store.state.dump().encode()))
+        out.close()
+    return {"revision": store.state.revision, "segments": len(missing), "schema": portable(store.state)["hash"]}

@@ -146,6 +146,8 @@ class State:
     migrations: list[dict[str, Any]] = field(default_factory=list)
     receipts: dict[str, Any] = field(default_factory=dict)
     revision: int = 0
+    #: tells a store from others, through all its revisions and copies
+    identity: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def dump(self) -> str:
         tables = {
@@ -162,6 +164,7 @@ class State:
         return json.dumps(
             {
                 "revision": self.revision,
+                "identity": self.identity,
                 "types": {k: dump_type(t) for k, t in self.types.items()},
                 "tables": tables,
                 "references": [vars(r) for r in self.references],
@@ -186,7 +189,7 @@ class State:
             for n, t in x["tables"].items()
         }
         references = [Reference(r["source"], tuple(r["source_fields"]), r["target"], tuple(r["target_fields"])) for r in x["references"]]
-        return State({k: load_type(t) for k, t in x["types"].items()}, tables, references, x["sequences"], x["migrations"], x["receipts"], x["revision"])
+        return State({k: load_type(t) for k, t in x["types"].items()}, tables, references, x["sequences"], x["migrations"], x["receipts"], x["revision"], x["identity"])
 
 
 @dataclass
@@ -285,6 +288,16 @@ class Store:
             self._publish(work.state)
         return out
 
+    def load(self, table: str, frame: DataFrame) -> int:
+        """Appends a DataFrame that has a table's fields as columns, in parallel; returns the number of rows.
+
+        All constraints are checked as for inserted rows. Columns may stand in any order; missing or further ones are refused.
+        """
+        work = _Work(self, copy.deepcopy(self.state))
+        n = work.append(table, frame)
+        self._publish(work.state)
+        return n
+
     def preflight(self, migrations: str, queries: dict[str, str]) -> dict[str, dict[str, Any]]:
         """How each query binds now and after the migrations, which aren't applied: its columns and parameters, or the error's code."""
         work = _Work(self, copy.deepcopy(self.state), dry=True)
@@ -618,6 +631,27 @@ class _Work:
             fresh = fresh.withColumn("__order", F.col(ROW_ID))
         return Changed(len(rows), *self._returned(n.returning, fresh, source, "__order", actions))
 
+    def append(self, name: str, frame: DataFrame) -> int:
+        t, r = self.table(name), self.registry()
+        row = self.row_type(t)
+        if set(frame.columns) != {f.name for f in row.fields}:
+            raise QueryError("E_TYPE", f"the columns aren't the fields of {t.row}")
+        required = [f.name for f in row.fields if not isinstance(r.resolve(f.type), Option)]
+        typed = frame.select(*(column(f.name).cast(r.spark(f.type)).alias(f.name) for f in row.fields), (F.lit(t.next_id) + F.monotonically_increasing_id()).alias(ROW_ID))
+        segment = self.write(typed)
+        new = self._segments([segment], T.StructType([*r.spark(row).fields, T.StructField(ROW_ID, T.LongType())]))
+        if required:
+            missing = column(required[0]).isNull()
+            for c in required[1:]:
+                missing = missing | column(c).isNull()
+            self._refuse(new.filter(missing), f"a row of {name} has no value for a required field")
+        found = new.agg(F.count(F.lit(1)).alias("n"), F.max(ROW_ID).alias("last")).first()
+        if found["n"]:
+            self._unique(name, new, self.frame(name))
+            t.segments, t.next_id = [*t.segments, segment], found["last"] + 1
+            self._references(name, new, None)
+        return found["n"]
+
     def _returned(self, fields: list[N.Path] | None, rows: DataFrame, source: Source, order: str, actions: list[str] | None = None) -> tuple[Any, Any, Any]:
         if fields is None:
             return None, actions, None

@@ -6,7 +6,7 @@ import base64
 import datetime as dt
 import decimal
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -50,11 +50,17 @@ def _json(x: Any) -> Any:
     raise TypeError(type(x))
 
 
-def json_lines(result: Result) -> Iterator[str]:
-    """A header with the columns, a line for each row as partitions arrive, and a trailer with the count."""
+def json_lines(result: Result, cancelled: Callable[[], bool] = lambda: False) -> Iterator[str]:
+    """A header with the columns, a line for each row as partitions arrive, and a trailer with the count.
+
+    cancelled is asked before each row; once it is true the rest isn't computed and the trailer says so.
+    """
     yield json.dumps({"columns": [{"name": n, "type": repr(t)} for n, t in result.columns.items()]})
     n = 0
     for row in result.stream():
+        if cancelled():
+            yield json.dumps({"cancelled": True, "rows": n})
+            return
         yield json.dumps({"row": row}, default=_json, ensure_ascii=False)
         n += 1
     yield json.dumps({"rows": n})

@@ -52,8 +52,13 @@ def test_backup_is_a_store(spark, tmp_path):
     a.run(OLD)
     out = backup(a, f"file://{tmp_path}/b")
     assert out["segments"] == 1 and Store(spark, f"file://{tmp_path}/b").query("from r | aggregate { n = count }").rows() == [{"n": 2}]
+    assert backup(a, f"file://{tmp_path}/b")["segments"] == 0
+    a.run("delete r | filter id == 1")
+    assert backup(a, f"file://{tmp_path}/b")["segments"] == 1 and Store(spark, f"file://{tmp_path}/b").query("from r | aggregate { n = count }").rows() == [{"n": 1}]
+    other = Store(spark)
+    other.run(OLD)
     with pytest.raises(QueryError):
-        backup(a, f"file://{tmp_path}/b")
+        backup(other, f"file://{tmp_path}/b")
 
 
 def test_classes(spark):
