@@ -1,25 +1,35 @@
-"""Operator 8: personal data by a character-level BiLSTM-CRF over overlapping windows, beside patterns whose spans always stay."""
+"""Operator 8: personal data by a character-level BiLSTM-CRF over overlapping windows, beside patterns whose spans always stay.
+
+The tagger scores windows that start on a grid over the text. Where windows overlap, their scores are averaged, those near a window's
+edge counting least, and one best path is sought over each whole stretch, so that a span may be longer than a window. It knows the
+patterns' kinds in more forms (mail written with (at) and (dot), phone numbers without +) and secrets: keys, tokens and passwords.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from adtflow.llm.pii_model import KINDS, LENGTH, SYMBOLS, Tagger, symbols, tag_spans, trained
+from adtflow.llm.pii_model import KINDS, LENGTH, SYMBOLS, TAGS, Tagger, symbols, tag_spans, trained
 from adtflow.llm.shared import map_arrow
 
+#: Kinds that have a pattern.
+PATTERNS = 4
 #: Windows are as long as in training and start this far apart.
 STRIDE = LENGTH // 2
-#: Characters on either side of a digit or @ that windows cover. Without either sign in reach there is no span of these kinds.
+#: Characters on either side of a sign that are decoded. Without a sign in it, or just before a secret, nothing is a plausible span.
 REACH = LENGTH // 2
-#: Windows decoded at a time.
+#: Windows scored, and stretches decoded, at a time.
 WINDOWS = 256
 
-_SIGN = re.compile(r"[0-9@]+")
+_SIGN = re.compile(r"[0-9@]+|[\[({]\s?at\s?[\])}]|(?-i:A[KS]IA[0-9A-Z])|(?:passw(?:or)?d|token|secret|key)[\"']?\s?[:=]", re.I)
+_WEIGHT = np.minimum(np.arange(LENGTH), np.arange(LENGTH)[::-1]).astype(np.float32)[:, None] + 1
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -60,7 +70,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
 def valid(kind: int, s: str) -> bool:
     """What a match of a kind must fulfil besides its pattern."""
     if kind == 1:
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in s.split("."))
+        return all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in s.split("."))
     d = _digits(s)
     return kind == 0 or (13 <= len(d) <= 19 and luhn(d) if kind == 2 else 9 <= len(d) <= 15)
 
@@ -73,70 +83,89 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows that cover all text within REACH of a sign, STRIDE apart in each stretch."""
-    out, begin, end = [], None, -1
-    for m in [*_SIGN.finditer(text), None]:
-        if begin is not None and (m is None or m.start() - REACH > end):
-            out += range(begin, max(begin + 1, end - STRIDE), STRIDE)
-            begin = None
-        if m is not None:
-            if begin is None:
-                begin = max(0, m.start() - REACH)
-            end = min(len(text), m.end() + REACH)
+def stretches(text: str) -> list[tuple[int, int]]:
+    """The parts of a text within REACH of a sign."""
+    out: list[tuple[int, int]] = []
+    for m in _SIGN.finditer(text):
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
     return out
 
 
+_HIDDEN_MAIL = re.compile(r"[\w.%+-]+\s?[\[({]\s?at\s?[\])}]\s?[\w-]+(?:(?:\s?[\[({]\s?dot\s?[\])}]\s?|\.)[\w-]+)+", re.I | re.A)
+
+
 def _plausible(kind: int, s: str) -> bool:
     """Whether what the tagger found is such data; a wrong checksum, number or sign count is dropped, as with the patterns."""
     if kind == 0:
         user, sign, host = s.partition("@")
-        return bool(sign and user and "." in host.strip(".") and " " not in s)
+        return bool(sign and user and "." in host.strip(".") and " " not in s) or bool(_HIDDEN_MAIL.fullmatch(s))
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s)) and valid(1, s)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[ -]?[0-9])+", s)) and valid(2, s)
-    return bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", s)) and valid(3, s) and ("(" in s or "+" in s)
-
+        return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", s)) and valid(2, s)
+    if kind == 3:
+        return bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", s)) and valid(3, s) and ("(" in s or "+" in s)
+    return bool(re.fullmatch(r"[A-Za-z0-9+/=_-]{8,}", s)) and (any(c.isdigit() for c in s) or s.startswith(("AKIA", "ASIA")))
 
-def tagged_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """Spans of each text as the tagger sees them in its windows, reconciled over the whole text.
 
-    A span that several windows see is taken from the window in which it lies farthest from an edge; of spans that overlap, the
-    one farther from its window's edges stays, then the longer one.
-    """
-    places = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    seen: list[set[tuple[int, int, int, int]]] = [set() for _ in texts]
+def _scores(texts: list[str], parts: list[tuple[int, int, int]], model: Tagger) -> list[np.ndarray]:
+    """The averaged scores (time, tags) of each part (text, start, end)."""
+    out = [np.zeros((b - a, TAGS), np.float32) for _, a, b in parts]
+    weights = [np.zeros((b - a, 1), np.float32) for _, a, b in parts]
+    places = [(n, k * STRIDE) for n, (_, a, b) in enumerate(parts) for k in range(max(0, a // STRIDE - 1), (b - 1) // STRIDE + 1)]
     for at in range(0, len(places), WINDOWS):
-        part = places[at : at + WINDOWS]
-        ids = np.full((len(part), LENGTH), SYMBOLS - 1, np.int64)
-        for row, (i, s) in enumerate(part):
-            x = symbols(texts[i][s : s + LENGTH])
+        some = places[at : at + WINDOWS]
+        ids = np.full((len(some), LENGTH), SYMBOLS - 1, np.int64)
+        for row, (n, s) in enumerate(some):
+            x = symbols(texts[parts[n][0]][s : s + LENGTH])
             ids[row, : len(x)] = x
-        for (i, s), tags in zip(part, model.decode(ids), strict=True):
-            n = min(LENGTH, len(texts[i]) - s)
-            for kind, a, b in tag_spans(tags[:n]):
-                left, right = (a if s else LENGTH), (n - b if s + n < len(texts[i]) else LENGTH)
-                if left and right:  # else the window cuts it; another one sees all of it
-                    seen[i].add((-min(left, right), kind, s + a, s + b))
-    out = []
-    for t, found in zip(texts, seen, strict=True):
-        taken: list[Span] = []
-        for _, kind, a, b in sorted(found, key=lambda x: (x[0], x[2] - x[3], x[2], x[1])):
-            if _plausible(kind, t[a:b]) and not any(a < y and x < b for _, x, y in taken):
-                taken.append((kind, a, b))
-        out.append(sorted(taken))
-    return out
+        scores = model.emissions(ids)
+        for row, (n, s) in enumerate(some):
+            _, a, b = parts[n]
+            first, last = max(a, s), min(b, s + LENGTH)
+            if first < last:
+                out[n][first - a : last - a] += scores[first - s : last - s, row] * _WEIGHT[first - s : last - s]
+                weights[n][first - a : last - a] += _WEIGHT[first - s : last - s]
+    return [x / w for x, w in zip(out, weights, strict=True)]
+
+
+def tagged_spans(texts: list[str], model: Tagger, everywhere: bool = False) -> list[list[Span]]:
+    """Plausible spans of each text as the tagger sees them, near signs or, with the same result, everywhere."""
+    parts = [(i, a, b) for i, t in enumerate(texts) for a, b in ([(0, len(t))] * bool(t) if everywhere else stretches(t))]
+    parts.sort(key=lambda x: x[2] - x[1])  # those decoded together are about as long
+    out: list[list[Span]] = [[] for _ in texts]
+    at = 0
+    while at < len(parts):
+        longest = WINDOWS * 4 * LENGTH  # characters decoded at a time, or one part
+        some = parts[at : at + 1]
+        while at + len(some) < len(parts) and len(some) < WINDOWS and (len(some) + 1) * (parts[at + len(some)][2] - parts[at + len(some)][1]) <= longest:
+            some.append(parts[at + len(some)])
+        at += len(some)
+        each = _scores(texts, some, model)
+        lengths = np.array([len(x) for x in each])
+        scores = np.zeros((lengths.max(), len(each), TAGS), np.float32)
+        for row, x in enumerate(each):
+            scores[: len(x), row] = x
+        for (i, a, b), tags in zip(some, model.viterbi(scores, lengths), strict=True):
+            out[i] += [(kind, a + x, a + y) for kind, x, y in tag_spans(tags[: b - a]) if _plausible(kind, texts[i][a + x : a + y])]
+    return [sorted(x) for x in out]
 
 
 def find(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and all spans: what the tagger adds overlaps no base span."""
-    busy = [i for i, t in enumerate(texts) if _SIGN.search(t)]
-    more = dict(zip(busy, tagged_spans([texts[i] for i in busy], model), strict=True))
     out: list[tuple[list[Span], list[Span]]] = []
-    for i, t in enumerate(texts):
-        base = base_spans(t) if i in more else []
-        added = [x for x in more.get(i, ()) if not any(x[1] < b and a < x[2] for _, a, b in base)]
+    for t, found in zip(texts, tagged_spans(texts, model), strict=True):
+        base = base_spans(t)
+        taken, added = sorted((a, b) for _, a, b in base), []
+        ends = list(accumulate((b for _, b in taken), max))
+        for x in found:
+            before = bisect_left(taken, (x[2], 0))  # base spans that start before its end
+            if not before or ends[before - 1] <= x[1]:
+                added.append(x)
         out.append((base, sorted(base + added)))
     return out
 
@@ -146,23 +175,25 @@ def _joined(spans: list[Span]) -> str:
 
 
 def private_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the numbers of base spans of each kind, base_sha256 and spans of every document.
+    """doc_id, the numbers of base spans of each kind, base_sha256, spans, and the number of all spans, of every document.
 
-    Places are code points, ends exclusive. Null and empty texts have no spans; repeated rows are handled alike; an empty table
-    gives no rows; other columns are not read. Only stretches near a digit or @ are decoded: no kind has a span without one.
+    Places are code points, ends exclusive. Null and empty texts have no spans; null ids stay null; repeated rows are handled alike; an
+    empty table gives no rows; other columns are not read. A long text takes memory in proportion to its own length. Only stretches
+    near a sign are decoded, as nothing else is a plausible span.
     """
     sent = documents.sparkSession.sparkContext.broadcast(trained())  # a few thousand numbers
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for base, every in find([x or "" for x in batch.column(1).to_pylist()], sent.value):
-            n = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
-            rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
-        kinds = (*[pa.int64()] * 4, pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            n = [sum(k == kind for k, _, _ in base) for kind in range(PATTERNS)]
+            rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every)))
+        kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64())
+        names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
     slim = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
-    return map_arrow(slim, each, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(slim, each, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -176,7 +207,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redacted(documents: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """documents with personal data replaced in the text, and the length column, if there is one, brought up to date."""
+    """documents with personal data and secrets replaced in the text, and the length column, if there is one, brought up to date.
+
+    Null texts stay null and empty ones empty; repeated rows are handled alike; an empty table stays so; all other columns, whatever
+    their names, are kept as they are.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(trained())
     at = documents.columns.index(text_col)
     n_at = documents.columns.index(length_col) if length_col in documents.columns else None

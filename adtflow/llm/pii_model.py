@@ -1,20 +1,26 @@
-"""A character-level bidirectional LSTM with CRF transitions, trained and decoded in numpy."""
+"""A character-level bidirectional LSTM with CRF transitions, trained and decoded in numpy.
+
+`python -m adtflow.llm.pii_model` trains it on generated labelled texts and writes its weights beside this file; queries only read them.
+"""
 
 from __future__ import annotations
 
 import random
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: O, then B and I of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: ASCII, other letters, other characters, padding.
 SYMBOLS = 131
-EMBEDDING, HIDDEN = 12, 20
-STEPS, BATCH, LENGTH = 400, 32, 72
+EMBEDDING, HIDDEN = 12, 24
+STEPS, BATCH, LENGTH = 2500, 32, 72
+#: The trained weights, a few thousand numbers.
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 NEVER = -1e4
 
 
@@ -141,15 +147,18 @@ class Tagger:
         g[f"h{d}"], g[f"b{d}"], g[f"x{d}"] = gh, dz.sum((0, 1)), np.tensordot(x, dz, ([0, 1], [0, 1]))
         return dz @ self.p[f"x{d}"].T
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tags (batch, time) under emissions and transitions."""
-        scores, trans = self.emissions(ids), self.p["t"] + _ALLOWED
+    def viterbi(self, scores: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """The best tags (batch, time) under emissions (time, batch, tags) and transitions; beyond a row's length they mean nothing."""
         time, batch, _ = scores.shape
-        best, back = scores[0] + _START, np.zeros((time, batch, TAGS), np.int8)
+        trans, same = self.p["t"] + _ALLOWED, np.arange(TAGS, dtype=np.int8)
+        best, back = scores[0] + _START, np.empty((time, batch, TAGS), np.int8)
         for t in range(1, time):
             x = best[:, :, None] + trans
             back[t] = x.argmax(1)
-            best = x.max(1) + scores[t]
+            new = x.max(1) + scores[t]
+            if lengths is not None and (over := lengths <= t).any():
+                back[t, over], new[over] = same, best[over]
+            best = new
         out = np.empty((batch, time), np.int8)
         out[:, -1] = best.argmax(1)
         rows = np.arange(batch)
@@ -177,25 +186,47 @@ def _checked_card(r: random.Random) -> str:
 
 
 def _word(r: random.Random) -> str:
-    w = "".join(r.choice(("an", "er", "the", "on", "re", "ti", "es", "or", "in", "st", "é", "ción", "sch", "ou", "le", "k", "ba", "mo")) for _ in range(r.randint(1, 4)))
+    if r.random() < 0.4:
+        w = "".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(1, 10)))
+    else:
+        w = "".join(r.choice(("an", "er", "the", "on", "re", "ti", "es", "or", "in", "st", "é", "ción", "sch", "ou", "le", "k", "ba", "mo")) for _ in range(r.randint(1, 4)))
     return r.choice((w, w, w, w, w.capitalize(), w.upper(), w + ",", w + ".", w + "."))
 
 
-def _private(r: random.Random) -> tuple[int, str]:
-    kind = r.randrange(4)
-    name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+def _private(r: random.Random) -> tuple[int, str, str, str]:
+    """A kind, what stands before it, the data and what stands after it."""
+    kind = r.randrange(5)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(of) for _ in range(n))
+    name = lambda: letters(r.randint(2, 9))
+    digits = lambda n: letters(n, "0123456789")
     if kind == 0:
-        user = r.choice((name(), f"{name()}.{name()}", f"{name()}.{digits(2)}", f"{name()}_{digits(r.randint(1, 4))}", f"{name()}+{name()}"))
-        return 0, f"{user}@{name()}{r.choice(('', digits(1)))}.{r.choice(('com', 'org', 'net', 'example.com', 'co.uk', 'de', 'io'))}"
+        user = r.choice((name(), name(), f"{name()}.{name()}", f"{name()}.{digits(2)}", f"{name()}_{digits(r.randint(1, 4))}", f"{name()}+{name()}", name() + "".join(name() for _ in range(r.randint(2, 5)))))
+        host, end = f"{name()}{r.choice(('', digits(1)))}", r.choice(("com", "org", "net", "example.com", "co.uk", "de", "io"))
+        if r.random() < 0.45:  # written so that no pattern with a sign finds it
+            a, z = r.choice(("()", "[]", "{}"))
+            gap = r.choice(("", " ", " "))
+            dot = lambda: r.choice((f"{gap}{a}dot{z}{gap}", "."))
+            return 0, "", f"{user}{gap}{a}{r.choice(('at', 'at', 'AT'))}{z}{gap}{host}{dot()}{end}", ""
+        return 0, "", f"{user}@{host}.{end}", ""
     if kind == 1:
-        return 1, ".".join(str(r.randrange(256)) for _ in range(4))
+        return 1, "", ".".join(str(r.randrange(256)) for _ in range(4)), ""
     if kind == 2:
         c = _checked_card(r)
-        sep = r.choice(("", "", " ", "-"))
-        return 2, sep.join(c[i : i + 4] for i in range(0, len(c), 4))
-    a, b, c = digits(3), digits(3), digits(4)
-    return 3, r.choice((f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"+{r.randint(1, 99)}-{a}-{b}-{c}", f"({a}) {b}-{c}", f"+{r.randint(1, 9)}{a}{b}{c}"))
+        sep = r.choice(("", "", " ", "-", "."))
+        return 2, "", sep.join(c[i : i + 4] for i in range(0, len(c), 4)), ""
+    if kind == 3:
+        a, b, c, q = digits(3), digits(3), digits(4), r.randint(1, 99)
+        return 3, "", r.choice((f"+{q} ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+{q} {a} {b} {c}", f"+{q}-{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"+{q}{a}{b}{c}", f"+{q} ({a}) {b} {c}")), ""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    mixed = upper + upper.lower()
+    of = r.choice(("0123456789abcdef", "0123456789abcdef", mixed))
+    if (x := r.random()) < 0.3:
+        return 4, "", r.choice(("AKIA", "AKIA", "ASIA")) + letters(16, upper + "0189"), ""
+    if x < 0.4:
+        return 4, "", r.choice(("ghp_", "sk-", "xoxb-")) + letters(r.randint(20, 36), mixed + "0189"), ""
+    what = r.choice(("password", "password", "passwd", "token", "token", "secret", "api_key", "Password", "auth_token", "PASSWORD"))
+    quote = r.choice(("", "", '"', '"', "'"))
+    return 4, f"{what}{r.choice(('=', '=', ' = ', ' = ', ': ', ':'))}{quote}", letters(r.randint(12, 44), of), quote
 
 
 def _decoy(r: random.Random) -> str:
@@ -210,6 +241,12 @@ def _decoy(r: random.Random) -> str:
             f"{r.randint(0, 23):02}:{r.randint(0, 59):02}",
             f"${digits(3)}.{digits(2)}",
             f"@{_word(r)}",
+            f"({r.choice(('at', 'dot', 'as'))})",
+            f"{r.choice(('password', 'token', 'secret', 'the key'))} {_word(r)}",
+            "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 32, 40)))),
+            f"{r.choice(('n', 'count', 'width', 'x'))}{r.choice(('=', ' = '))}{digits(r.randint(1, 3))}",
+            "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.randint(3, 20))),
+            f"({digits(r.randint(1, 4))})",
             f"{digits(3)}+{digits(2)}",
         )
     )
@@ -220,25 +257,23 @@ def labelled_text(r: random.Random, length: int = LENGTH) -> tuple[str, list[int
     text, tags = "", []
     skip = r.randrange(12)
     while len(text) < length + skip:
-        kind, s = -1, _word(r)
+        kind, head, s, tail = -1, "", _word(r), ""
         x = r.random()
-        if x < 0.16:
-            kind, s = _private(r)
-        elif x < 0.26:
+        if x < 0.18:
+            kind, head, s, tail = _private(r)
+        elif x < 0.3:
             s = _decoy(r)
-        tags += [0] * len(s) if kind < 0 else [2 * kind + 1] + [2 * kind + 2] * (len(s) - 1)
-        tail = r.choice((" ", " ", " ", " ", ", ", ". ", "\n", "%%% ", "!! "))
-        text += s + tail
-        tags += [0] * len(tail)
+        tail += r.choice((" ", " ", " ", " ", ", ", ". ", "\n", "%%% ", "!! "))
+        text += head + s + tail
+        tags += [0] * len(head) + ([0] * len(s) if kind < 0 else [2 * kind + 1] + [2 * kind + 2] * (len(s) - 1)) + [0] * len(tail)
     text, tags = text[skip : skip + length], tags[skip : skip + length]
     if tags[0] and tags[0] % 2 == 0:  # a span that the cut went through starts here
         tags[0] -= 1
     return text, tags
 
 
-@lru_cache(2)
-def trained(seed: int = 11, steps: int = STEPS) -> Tagger:
-    """The tagger after steps of Adam over generated labelled texts; the same on every machine for a seed."""
+def train(seed: int = 11, steps: int = STEPS) -> Tagger:
+    """The tagger after steps of Adam over generated labelled texts."""
     r, m = random.Random(seed), Tagger.new(np.random.default_rng(seed))
     first, second = ({k: np.zeros_like(v) for k, v in m.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
@@ -252,3 +287,13 @@ def trained(seed: int = 11, steps: int = STEPS) -> Tagger:
             second[k] = 0.999 * second[k] + 0.001 * v * v
             m.p[k] = (m.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return m
+
+
+@lru_cache(1)
+def trained() -> Tagger:
+    with np.load(WEIGHTS) as w:
+        return Tagger({k: w[k].astype(np.float32) for k in w.files})
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in train().p.items()})

@@ -305,7 +305,7 @@ def test_tagger_on_held_out_texts():
     r, model = random.Random(12), trained()
     test = [labelled_text(r) for _ in range(300)]
     hit = wrong = missed = 0
-    for (_, y), d in zip(test, model.decode(np.stack([symbols(t) for t, _ in test]))):
+    for (_, y), d in zip(test, model.viterbi(model.emissions(np.stack([symbols(t) for t, _ in test])))):
         a, b = set(tag_spans(np.array(y))), set(tag_spans(d))
         hit, wrong, missed = hit + len(a & b), wrong + len(b - a), missed + len(a - b)
     assert hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.9
