@@ -208,7 +208,10 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_scored(documents: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns, whatever their names.
+
+    Null texts count as empty, ties with the threshold stay, rows with equal texts stay or go together; an empty table stays so.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
 

@@ -235,7 +235,11 @@ def to_wav(samples: bytes, rate: int = 8000) -> bytes:
 
 
 def encode_media(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "application/octet-stream") -> DataFrame:
-    """doc_id, n_bytes, declared type and media: each whole text, padded, as 8-bit WAV samples. Null texts are empty ones."""
+    """doc_id, n_bytes, declared type and media: each whole text, padded, as 8-bit WAV samples.
+
+    Null texts are empty ones, which have one block of zeros; null ids stay null; equal texts have equal media; repeated rows each
+    have their own; an empty table gives no rows; other columns are not read. A text takes memory in proportion to its own length.
+    """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [(x or "").encode() for x in batch.column(1).to_pylist()]
@@ -276,5 +280,5 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def media_round_trip(documents: DataFrame) -> DataFrame:
-    """Every text stored as media in the shared folder, read back and described. An empty table gives no rows."""
+    """Every text stored as media in the shared folder, read back and described. Nulls, repeated rows and empty tables as above."""
     return read_media(stored(encode_media(documents), "media"))
