@@ -71,8 +71,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, h (the text's hash), item_id, n_words, matched and similarity for each document and item that overlap.
 
     n_words: words of the item; matched: most words that agree on one diagonal; similarity: most of a window's words that agree, as
-    a share. Null texts are empty and overlap with nothing, as do items without words. A null id is reported as null. Repeated
-    rows are reported once. Items shorter than WINDOW have masks over the whole item, and may reach past either end of a document by
+    a share. Null texts are empty and overlap with nothing, as do items without words. A null id, of a document or an
+    item, is reported as null. Repeated rows are reported once. Items shorter than WINDOW have masks over the whole item, and may reach past either end of a document by
     as many words as may differ. Other columns are not read.
     """
     text = text_or_empty(text_col)
@@ -80,13 +80,14 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = lambda t: F.transform(words(t), lambda w: F.xxhash64(w))
     docs = source.select("doc_id", "h", hashed(F.col("text")).alias("w"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), hashed(text_or_empty(item_text_col)).alias("w")).filter(F.size("w") > 0).distinct()
-    items = stored(items, "items", compact=True)
+    # a number of their own, as ids may be null, or one item's may be another's
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items", compact=True)
     short = sorted(r[0] for r in items.filter(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # fewer than WINDOW numbers
 
     hits = None
     passes = [(MASKS, 0, items.filter(F.size("w") >= WINDOW)), *((short_masks(n), substitutions(n), items.filter(F.size("w") == n)) for n in short)]
     for masks, beyond, chosen in passes:
-        seeds = stored(_windows(chosen, masks, ["item_id"]).distinct(), "seeds", compact=True)
+        seeds = stored(_windows(chosen, masks, ["item"]).distinct(), "seeds", compact=True)
         n = seeds.count()
         if not n:
             continue
@@ -95,12 +96,12 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = _windows(docs.withColumn("w", F.concat(ends, "w", ends)) if beyond else docs, masks, ["doc_id", "h"]).join(
             (F.broadcast(seeds) if n <= BROADCAST_ROWS else seeds).withColumnRenamed("start", "item_start"), "seed"
         )
-        found = found.select("doc_id", "h", "item_id", (F.col("start") - F.col("item_start") - beyond).alias("diagonal"))
+        found = found.select("doc_id", "h", "item", (F.col("start") - F.col("item_start") - beyond).alias("diagonal"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = docs.limit(0).select("doc_id", "h", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("diagonal"))
+        hits = docs.limit(0).select("doc_id", "h", F.lit(0).cast("long").alias("item"), F.lit(0).alias("diagonal"))
     # a document's diagonals are fewer than its words
-    hits = stored(hits.groupBy("doc_id", "h", "item_id").agg(F.collect_set("diagonal").alias("diagonals")), "hits", compact=True)
+    hits = stored(hits.groupBy("doc_id", "h", "item").agg(F.collect_set("diagonal").alias("diagonals")), "hits", compact=True)
 
     bucket = F.col("h").bitwiseAND(BUCKETS - 1)
     # safe to broadcast: at most BUCKETS numbers
@@ -108,7 +109,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wanted = hits.select(F.col("doc_id").alias("wanted_id"), F.col("h").alias("wanted_h")).distinct()
     texts = some.join(wanted, (F.col("h") == F.col("wanted_h")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").dropDuplicates(["doc_id", "h"])
     texts = texts.select(F.col("doc_id").alias("wanted_id"), F.col("h").alias("wanted_h"), hashed(F.col("text")).alias("w"))
-    both = hits.join(texts, (F.col("h") == F.col("wanted_h")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).join(items.withColumnRenamed("w", "b"), "item_id")
+    both = hits.join(texts, (F.col("h") == F.col("wanted_h")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).join(items.withColumnRenamed("w", "b"), "item")
 
     length = F.size("b")
     window = F.least(length, F.lit(WINDOW))
@@ -126,12 +127,20 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_words, matched and similarity: one row for each document id and benchmark item that it overlaps with."""
+    """doc_id, item_id, n_words, matched and similarity: one row for each document id and benchmark item that it overlaps with.
+
+    Rows of one id count as one document, as do all without an id, whose doc_id is null; of their overlaps with an item the best is
+    reported. Null and empty texts overlap with nothing; an empty table on either side gives no rows; other columns are not read.
+    """
     found = overlaps(documents, benchmark)
     return found.groupBy("doc_id", "item_id", "n_words").agg(F.max("matched").alias("matched"), F.max("similarity").alias("similarity"))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents without those that overlap with an item, with all columns."""
+    """documents without those that overlap with an item, with all columns, whatever their names.
+
+    A row goes if its own text overlaps, so that rows of one id may part, and repeated rows stay or go together. Null and empty texts
+    stay. Without items all rows stay; an empty table stays so.
+    """
     gone = overlaps(documents, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct()
     return documents.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_gone_h")), "left_anti")
