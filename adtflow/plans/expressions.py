@@ -16,7 +16,9 @@ from adtflow.functions import arithmetic as A
 from adtflow.functions.literals import fitted, python_value
 from adtflow.functions.scalars import FUNCTIONS, Typed, in_range
 from adtflow.lang import nodes as N
+from adtflow.lang.parser import constant as constant_value
 from adtflow.plans import patterns
+from adtflow.recursion import closed, opened
 from adtflow.types import BOOL, BYTES, DATE, DURATION, FLOAT, INT, TEXT, TIMESTAMP, UUID, Decimal, Enum, List, Map, Named, Option, Record, Registry, Scalar, Tuple, Type
 
 LITERAL_TYPES = {"int": INT, "float": FLOAT, "bool": BOOL, "text": TEXT, "uuid": UUID, "date": DATE, "timestamp": TIMESTAMP, "duration": DURATION, "bytes": BYTES}
@@ -82,7 +84,7 @@ class Binder:
             f = t.get(name) if isinstance(t, Record) else None
             if f is None:
                 raise QueryError("E_FIELD", f"{x.type!r} has no field {name}", p.place)
-            x = Typed(f.type, x.col.getField(name))
+            x = Typed(f.type, opened(self.r, x).getField(name))
         return x
 
     def local(self, d: Local, args: list[Typed], expected: Type | None, place: N.Place) -> Typed:
@@ -111,6 +113,8 @@ class Binder:
     # literals and values
     def constant(self, value: Any, t: Type, place: N.Place = None) -> Typed:
         """A Python value, as Registry.encode takes it, as a column."""
+        if self.r.recursive(t):
+            return Typed(t, F.lit(bytes(self.r.encode(t, value))))
         own = self.r.resolve(t)
         if isinstance(own, Option):
             if value is None:
@@ -195,7 +199,7 @@ class Binder:
                 cols.append(self.constant(f.default, f.type, place).col.cast(self.r.spark(f.type)).alias(f.name))
             else:
                 raise QueryError("E_TYPE", f"field {f.name} is missing", place)
-        return Typed(t, F.struct(*cols))
+        return Typed(t, closed(self.r, t, F.struct(*cols)))
 
     def variant(self, own: Enum, t: Type, at: int, payload: Column | None) -> Typed:
         """A value of an enum: every other variant's slot is a typed null."""
@@ -203,7 +207,7 @@ class Binder:
         for i, v in enumerate(own.variants):
             if v.payload is not None:
                 cols.append((payload if i == at else self.null(v.payload)).cast(self.r.spark(v.payload)).alias(v.name))
-        return Typed(t, F.struct(*cols))
+        return Typed(t, closed(self.r, t, F.struct(*cols)))
 
     def values(self, items: list[N.Node], s: Scope, want: Type | None, place: N.Place) -> tuple[Type, list[Typed]]:
         """Items of one type: the expected one, or that of the first item that has a type of its own."""
@@ -271,6 +275,13 @@ class Binder:
     # expressions
     def bind(self, n: N.Node, s: Scope, want: Type | None = None) -> Typed:
         """n as a column; want is the type that its place asks for, which literals and constructors take on."""
+        if isinstance(n, (N.Constructor, N.RecordValue)):
+            t = Named(n.type_name) if isinstance(n, N.Constructor) and n.type_name else want
+            if t is not None and (want is None or t == want) and not (isinstance(t, Named) and t.name not in self.r.types) and self.r.recursive(t):
+                try:
+                    return self.constant(constant_value(n), t, n.place)
+                except QueryError:  # not made of literals alone, or wrong, which what follows says better
+                    pass
         return getattr(self, f"_{type(n).__name__.lower()}")(n, s, want)
 
     def condition(self, n: N.Node, s: Scope) -> Column:

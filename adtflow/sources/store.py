@@ -32,6 +32,7 @@ from adtflow.lang import nodes as N
 from adtflow.lang.parser import constant, parse
 from adtflow.plans.expressions import Binder, Scope, column
 from adtflow.plans.pipeline import Index, Lowering, Plan, Source
+from adtflow.recursion import has_finite_values
 from adtflow.types import INT, TIMESTAMP, UUID, Decimal, Enum, Field, List, Map, Named, Option, Record, Registry, Scalar, Tuple, Type, Variant
 
 ROW_ID = "__row_id"
@@ -419,6 +420,8 @@ class _Work:
         r.define(n.name, n.type)
         self.state.types = r.types
         self._known_types(n.type, n.place)
+        if not has_finite_values(self.state.types, n.name):
+            raise QueryError("E_SCHEMA", f"{n.name} has no finite value", n.place)
         self._defaults(n.type, r, n.place)
         self.dirty = True
 

@@ -126,10 +126,14 @@ class Registry:
 
         return inside(self.types[name], frozenset({name}))
 
+    def recursive(self, t: Type) -> bool:
+        """Whether values of t are columns of bytes, as its type contains itself."""
+        return isinstance(t, Named) and (self.is_recursive(t.name) or self.recursive(self.types[t.name]))
+
     def spark(self, t: Type, depth: int = 0) -> T.DataType:
         """The Spark type of a type; nullability is decided by the field that holds it."""
-        if isinstance(t, Named) and self.is_recursive(t.name):
-            raise QueryError("E_TYPE", f"recursive type {t.name} has no column encoding")
+        if self.recursive(t):
+            return T.BinaryType()
         t = self.resolve(t)
         if isinstance(t, Scalar):
             return _SPARK[t.name]
@@ -137,7 +141,7 @@ class Registry:
             return T.DecimalType(t.precision, t.scale)
         if isinstance(t, Option):
             inner = self.resolve(t.of)
-            return T.StructType([T.StructField("v", self.spark(inner), True)]) if isinstance(inner, Option) else self.spark(inner)
+            return T.StructType([T.StructField("v", self.spark(inner), True)]) if isinstance(inner, Option) else self.spark(t.of)
         if isinstance(t, List):
             return T.ArrayType(self.spark(t.of), True)  # Spark can't cast an array to one that promises no nulls
         if isinstance(t, Map):
@@ -150,30 +154,39 @@ class Registry:
             return T.StructType([T.StructField("tag", T.IntegerType(), True), *(T.StructField(v.name, self.spark(v.payload), True) for v in t.variants if v.payload is not None)])
         raise QueryError("E_TYPE", f"no column encoding for {t!r}")
 
-    def encode(self, t: Type, value: Any) -> Any:
+    def encode(self, t: Type, value: Any, depth: int = 0) -> Any:
         """A Python value as Spark's createDataFrame takes it.
 
         Enums are (variant name, payload) with a dict or tuple as payload; None is an empty option, Some values of nested options
-        are wrapped as ('Some', value); records are dicts, whose missing fields take their defaults.
+        are wrapped as ('Some', value); records are dicts, whose missing fields take their defaults. Of recursive types the bytes.
         """
+        if self.recursive(t):
+            from adtflow.recursion import MAX_DEPTH, Packer
+
+            if depth > MAX_DEPTH:
+                raise QueryError("E_LIMIT", f"a value is nested more than {MAX_DEPTH} deep")
+            own = self.resolve(t)
+            if isinstance(own, Record) and isinstance(value, tuple) and len(value) == 2 and value[0] == show(t):
+                value = value[1]
+            return bytearray(Packer(self).pack(own, self.encode(own, value, depth + 1)))
         name, t = t, self.resolve(t)
         if isinstance(t, Option):
             if value is None:
                 return None
             inner = self.resolve(t.of)
             if isinstance(inner, Option):
-                return (self.encode(inner, value[1]),)
-            return self.encode(inner, value[1] if isinstance(value, tuple) and len(value) == 2 and value[0] == "Some" else value)
+                return (self.encode(t.of, value[1], depth),)
+            return self.encode(t.of, value[1] if isinstance(value, tuple) and len(value) == 2 and value[0] == "Some" else value, depth)
         if value is None:
             raise QueryError("E_TYPE", f"a value of {t!r} is missing")
         if isinstance(t, List):
-            return [self.encode(t.of, x) for x in value]
+            return [self.encode(t.of, x, depth) for x in value]
         if isinstance(t, Map):
-            return [(k, self.encode(t.of, value[k])) for k in sorted(value, key=lambda k: k.encode())]
+            return [(k, self.encode(t.of, value[k], depth)) for k in sorted(value, key=lambda k: k.encode())]
         if isinstance(t, Tuple):
             if len(value) != len(t.items):
                 raise QueryError("E_TYPE", f"{t!r} has {len(t.items)} items")
-            return tuple(self.encode(x, v) for x, v in zip(t.items, value))
+            return tuple(self.encode(x, v, depth) for x, v in zip(t.items, value))
         if isinstance(t, Record):
             if isinstance(value, tuple) and len(value) == 2 and value[0] == show(name):
                 value = value[1]
@@ -185,7 +198,7 @@ class Registry:
             for f in t.fields:
                 if f.name not in value and not f.has_default:
                     raise QueryError("E_TYPE", f"field {f.name} is missing")
-                out.append(self.encode(f.type, value.get(f.name, f.default)))
+                out.append(self.encode(f.type, value.get(f.name, f.default), depth))
             return tuple(out)
         if isinstance(t, Enum):
             name, payload = value if isinstance(value, tuple) else (value, None)
@@ -197,17 +210,21 @@ class Registry:
                 payload = {}
             if (payload is None) != (own.payload is None):
                 raise QueryError("E_TYPE", f"variant {name} takes {'no' if own.payload is None else 'a'} payload")
-            return (at, *(self.encode(v.payload, payload) if v is own else None for v in t.variants if v.payload is not None))
+            return (at, *(self.encode(v.payload, payload, depth) if v is own else None for v in t.variants if v.payload is not None))
         return scalar_value(t, value)
 
     def decode(self, t: Type, value: Any) -> Any:
         """The inverse of encode for collected values."""
+        if self.recursive(t) and isinstance(value, (bytes, bytearray)):
+            from adtflow.recursion import Packer
+
+            return self.decode(self.resolve(t), Packer(self).unpack(t, bytes(value))[0])
         t = self.resolve(t)
         if value is None:
             return None
         if isinstance(t, Option):
             inner = self.resolve(t.of)
-            return ("Some", self.decode(inner, value[0])) if isinstance(inner, Option) else self.decode(inner, value)
+            return ("Some", self.decode(t.of, value[0])) if isinstance(inner, Option) else self.decode(t.of, value)
         if isinstance(t, List):
             return [self.decode(t.of, x) for x in value]
         if isinstance(t, Map):
@@ -218,7 +235,8 @@ class Registry:
             return {f.name: self.decode(f.type, value[i]) for i, f in enumerate(t.fields)}
         if isinstance(t, Enum):
             v = t.variants[value[0]]
-            return v.name if v.payload is None else (v.name, self.decode(v.payload, value[v.name]))
+            at = 1 + sum(x.payload is not None for x in t.variants[: value[0]])
+            return v.name if v.payload is None else (v.name, self.decode(v.payload, value[at]))
         if isinstance(t, Scalar) and t.name == "bytes":
             return bytes(value)
         return value
