@@ -85,11 +85,12 @@ class Prepared:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, secret: bytes = b"adtflow"):
+    def __init__(self, spark: SparkSession, secret: bytes = b"adtflow", ordered_sets: bool = False):
+        """ordered_sets: unions and the like give rows in the order of their first occurrence, at the price of a sort."""
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", 1001)  # the largest lookup's ranks are cut before the shuffle too
         ship_package(spark)
-        self.spark, self.secret = spark, secret
+        self.spark, self.secret, self.ordered_sets = spark, secret, ordered_sets
         self.registry = Registry()
         self.sources: dict[str, Source] = {}
 
@@ -123,7 +124,7 @@ class Engine:
         if not isinstance(node, N.Pipeline):
             raise QueryError("E_QUERY", "expected a query")
         b = Binder(self.registry, params, preparing)
-        return Lowering(self.registry, self.sources, b, self.secret, text).pipeline(node), b
+        return Lowering(self.registry, self.sources, b, self.secret, text, self.ordered_sets).pipeline(node), b
 
     def query(self, query: str | N.Node, **params: Any) -> Result:
         """Binds a query; nothing is read before the result's rows are asked for."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,8 +57,19 @@ def rank(rows: DataFrame, partition: Sequence[Column], order: Sequence[Column],
     return rows.withColumns({name: RANKS[kind]().over(w).cast("long") for name, kind in fields})
 
 
-def combine(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
-    """Distinct union, intersection or difference of rows by position."""
+def combine(left: DataFrame, right: DataFrame, kind: str, ordered: bool = False) -> DataFrame:
+    """Distinct union, intersection or difference of rows by position; ordered: by where each row occurs first, left rows before right."""
+    if ordered:
+        place, names = "__first", left.columns
+        first = lambda df: df.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.min(place).alias(place))
+        at = lambda df, side: df.toDF(*names).withColumn(place, F.struct(F.lit(side).alias("side"), F.monotonically_increasing_id().alias("at")))
+        if kind == "union":
+            out = first(at(left, 0).union(at(right, 1)))
+        else:
+            renamed = right.toDF(*(f"__right{i}" for i in range(len(names))))
+            same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__right{i}")) for i, c in enumerate(names)]
+            out = first(at(left, 0)).join(renamed, reduce(and_, same), "left_semi" if kind == "intersect" else "left_anti")
+        return out.orderBy(place).drop(place)
     if kind == "union":
         return left.union(right).distinct()
     return left.intersect(right) if kind == "intersect" else left.subtract(right)

@@ -59,8 +59,8 @@ class Plan:
 
 
 class Lowering:
-    def __init__(self, registry: Registry, sources: dict[str, Source], binder: Binder, secret: bytes = b"adtflow", text: str = ""):
-        self.r, self.sources, self.b, self.secret, self.text = registry, sources, binder, secret, text
+    def __init__(self, registry: Registry, sources: dict[str, Source], binder: Binder, secret: bytes = b"adtflow", text: str = "", ordered_sets: bool = False):
+        self.r, self.sources, self.b, self.secret, self.text, self.ordered_sets = registry, sources, binder, secret, text, ordered_sets
 
     def source(self, name: str, place: N.Place) -> Source:
         if name not in self.sources:
@@ -183,7 +183,7 @@ class Lowering:
         if list(right.columns.items()) != list(plan.columns.items()):
             raise QueryError("E_SET", "both sides need the same fields, types and order", n.place)
         state["origin"] = {}
-        return replace(plan, frame=relational.combine(plan.frame.select(*map(column, plan.columns)), right.frame.select(*map(column, right.columns)), n.kind))
+        return replace(plan, frame=relational.combine(plan.frame.select(*map(column, plan.columns)), right.frame.select(*map(column, right.columns)), n.kind, self.ordered_sets))
 
     def _select(self, n: N.Select, plan: Plan, s: Scope, state: dict) -> Plan:
         cols, columns, origin = [], {}, {}

@@ -7,6 +7,7 @@ failed script are left behind unseen.
 
 from __future__ import annotations
 
+import atexit
 import copy
 import datetime as dt
 import decimal
@@ -14,6 +15,7 @@ import hashlib
 import json
 import re
 import secrets
+import shutil
 import tempfile
 import time
 import uuid
@@ -120,6 +122,12 @@ def load_type(x: Any) -> Any:
     return Enum(tuple(Variant(e["name"], load_type(e["payload"])) for e in v))
 
 
+def _temporary() -> str:
+    folder = tempfile.mkdtemp(prefix="adtflow-store-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 @dataclass
 class Table:
     row: str
@@ -211,7 +219,7 @@ class Store:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not shared and not spark.sparkContext.master.startswith("local["):
             raise QueryError("E_STORE", "a store on a cluster needs a root or spark.checkpoint.dir")
-        self.root = (root or (f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='adtflow-store-')}")).rstrip("/")
+        self.root = (root or (f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}" if shared else f"file://{_temporary()}")).rstrip("/")
         text = self._read()
         self.state = State.load(text) if text else State()
 

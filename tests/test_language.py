@@ -298,6 +298,15 @@ def test_set_operations(engine):
     assert s(left + "except " + right) == ["('Review', {'turn': 2, 'by': 'w'})"]
 
 
+def test_ordered_set_operations(spark):
+    """As a mode, rows come in the order of their first occurrence."""
+    e = Engine(spark, ordered_sets=True)
+    e.register("a", spark.createDataFrame([(3, None), (1, 1), (3, None), (2, 5)], "x long, y long"), ("x",))
+    e.register("b", spark.createDataFrame([(9, 1), (2, 5), (3, None), (0, 0)], "x long, y long"), ("x",))
+    got = lambda kind: [r["x"] for r in e.query(f"from a | sort -x | {kind} {{ from b | sort x }}").rows()]
+    assert got("union") == [3, 2, 1, 0, 9] and got("intersect") == [3, 2] and got("except") == [1]
+
+
 def test_pages_forward_and_back(engine):
     q, seen, cursor = "from books | sort {{score, -id}} | page 2{} | select {{id}}", [], None
     while True:
