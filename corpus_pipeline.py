@@ -12,30 +12,48 @@ from adtflow.llm.shared import ship_package, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject: those whose score reaches the threshold, with all columns.
+
+    Null and empty texts have the score of a text without features; equal texts stay or go together; without labels of both classes
+    the score is the labels' mean, or 0.5 for none. An empty table stays so.
+    """
     model = classifier.fit(docs, table(spark, sf_dir, "labels"), "quality")
     return classifier.keep_scored(docs, model, QUALITY_THRESHOLD)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates, that with the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Null texts, empty ones and those without words are near duplicates of nothing and stay. Rows repeated under one id and text stay
+    or go together; rows without an id go if a near duplicate has one. An empty table stays so.
+    """
     ship_package(spark)
     return jaccard.keep_one(docs, 5, 80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item, with all columns.
+
+    Null and empty texts overlap with nothing and stay, as do all documents where the benchmark is empty; equal texts stay or go
+    together. An empty table stays so.
+    """
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data and secrets replaced by their kinds and n_chars brought up to date; no row goes.
+
+    Null texts stay null and empty ones empty; repeated rows are handled alike; other columns stay. An empty table stays so.
+    """
     ship_package(spark)
     return pii.redacted(docs)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's tokens, counted and digested, and its text decoded from them, digested."""
+    """Each document's tokens, counted and digested, and its text decoded from them, digested.
+
+    Null and empty texts have no tokens; null ids stay null; repeated rows each have a row. An empty table gives no rows.
+    """
     ship_package(spark)
     return bpe.bpe_round_trip(docs, tokenizer_path())
 
