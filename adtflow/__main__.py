@@ -16,9 +16,10 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("query", help="the query, or a file with it")
         c.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table")
         c.add_argument("--required", action="store_true", help="columns hold no nulls")
+        c.add_argument("--key", action="append", default=[], metavar="NAME=COLUMN", help="a table's key, which pages need")
         if name == "explain":
             c.add_argument("--analyze", action="store_true")
-    sub.add_parser("fmt", help="print a query in canonical form").add_argument("query")
+    sub.add_parser("fmt", help="print a query or script in canonical form").add_argument("query")
     for name in ("schema", "preview"):
         c = sub.add_parser(name, help="columns of a Parquet table" if name == "schema" else "some of its rows")
         c.add_argument("path")
@@ -51,9 +52,10 @@ def main(argv: list[str] | None = None) -> int:
                 print(line)
         else:
             e = Engine(spark)
+            keys = dict(k.split("=", 1) for k in a.key)
             for t in a.table:
                 name, _, path = t.partition("=")
-                e.parquet(path, name, "all" if a.required else ())
+                e.parquet(path, name, "all" if a.required else (), keys.get(name))
             q = text(a.query)
             if a.command == "run":
                 for line in json_lines(e.query(q)):

@@ -53,9 +53,15 @@ def _json(x: Any) -> Any:
 def json_lines(result: Result, cancelled: Callable[[], bool] = lambda: False) -> Iterator[str]:
     """A header with the columns, a line for each row as partitions arrive, and a trailer with the count.
 
-    cancelled is asked before each row; once it is true the rest isn't computed and the trailer says so.
+    cancelled is asked before each row; once it is true the rest isn't computed and the trailer says so. A page's trailer has its cursors.
     """
     yield json.dumps({"columns": [{"name": n, "type": repr(t)} for n, t in result.columns.items()]})
+    if result.page is not None:
+        rows, before, after = result.paged()
+        for row in rows:
+            yield json.dumps({"row": row}, default=_json, ensure_ascii=False)
+        yield json.dumps({"rows": len(rows), "before": before, "after": after})
+        return
     n = 0
     for row in result.stream():
         if cancelled():

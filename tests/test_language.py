@@ -398,6 +398,79 @@ def test_formatting_is_stable(text):
     assert parse(format_query(text)) == parse(text)
 
 
+SCRIPT = """enum Level {
+  Low
+  High {by: text = "Low", points: List<int> = [1]}
+  Pair(int, text)
+}
+
+struct Team {
+  id: int
+  name: text = "High"
+  level: Level = Pair(2, "x")
+  since: Option<timestamp> = Some(@2024-01-02T03:04:05Z)
+  fee: Decimal<6, 2> = decimal "1.50"
+}
+
+create sequence s start 4
+
+table teams: Team {
+  key id
+  default id = next(s)
+}
+
+create unique index teams (name, -id) if is_some since && level == Low
+
+create reference teams (name) references teams (name)
+
+drop reference teams (name) references teams (name)
+
+insert many teams [
+  {level: High {points: []}, name: "a"}
+  {name: "b"}
+]
+returning {id, name}
+
+upsert teams {id: 3}
+
+update teams
+filter id > 1
+sort -id
+take 2
+set {
+  level = Pair(id, name)
+  name = concat name "!"
+}
+returning
+
+delete teams
+filter level == Low
+
+expect affected >= 1
+
+migration first {
+  add struct Extra {
+    n: int
+  }
+  add variant Level.Mid {x: int}
+  change variant Level.Pair to (int) using p -> id_of p
+  drop variant Level.Low using l -> Level::Pair(0)
+  rename field Team.name to title
+  change field Team.fee to int using f -> 3
+  add field Team.more: Option<int> = None
+  change default Team.title to "new"
+  add index teams (title)
+  drop key teams
+  rename sequence s to t
+  change default teams.id to next(t)
+}
+"""
+
+
+def test_scripts_are_formatted_too():
+    assert format_query(SCRIPT) == SCRIPT and parse(format_query(SCRIPT)) == parse(SCRIPT)
+
+
 def test_builder_makes_the_same_tree(engine):
     built = (
         from_("books")
