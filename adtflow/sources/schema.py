@@ -5,12 +5,14 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+from functools import reduce
 from typing import Any
 
 from adtflow.errors import QueryError
-from adtflow.lang.formatter import text as quoted
-from adtflow.sources.store import State, Store, dump_type
-from adtflow.types import Enum, List, Map, Named, Option, Record, Registry, Tuple, Type, Variant, show
+from adtflow.lang import nodes as N
+from adtflow.lang.formatter import constant, declared, generator, index, kind, table, variant
+from adtflow.sources.store import State, Store, condition, dump_type
+from adtflow.types import Enum, List, Map, Named, Option, Record, Registry, Tuple, Type, show
 
 
 def portable(state: State) -> dict[str, Any]:
@@ -23,59 +25,43 @@ def portable(state: State) -> dict[str, Any]:
     return {"version": 1, "hash": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest(), **body}
 
 
-def literal(value: Any) -> str:
-    """A default's value as it is written in the language."""
-    import datetime as dt
-    import decimal
-
-    if value is None:
-        return "None"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, decimal.Decimal):
-        return f'decimal "{value}"'
-    if isinstance(value, dt.datetime):
-        return f"@{value.isoformat()}Z"
-    if isinstance(value, dt.date):
-        return f"@{value.isoformat()}"
-    if isinstance(value, dt.timedelta):
-        return f"{value // dt.timedelta(microseconds=1)}microseconds"
-    if isinstance(value, (bytes, bytearray)):
-        return f'bytes "{bytes(value).hex()}"'
-    if isinstance(value, str):
-        return value if value[:1].isupper() and value.isidentifier() else quoted(value)
-    if isinstance(value, list):
-        return "[" + ", ".join(map(literal, value)) + "]"
-    if isinstance(value, dict):
-        return "{" + ", ".join(f"{k}: {literal(v)}" for k, v in value.items()) + "}"
-    if isinstance(value, tuple) and len(value) == 2 and isinstance(value[0], str) and value[0][:1].isupper():
-        return f"{value[0]} {literal(value[1])}" if isinstance(value[1], dict) else f"{value[0]}({literal(value[1])})"
-    if isinstance(value, tuple):
-        return "(" + ", ".join(map(literal, value)) + ")"
-    return repr(value)
-
-
-def _record(t: Record) -> str:
-    return "{" + ", ".join(f"{f.name}: {show(f.type)}" + (f" = {literal(f.default)}" if f.has_default else "") for f in t.fields) + "}"
-
-
-def _variant(v: Variant) -> str:
-    return v.name if v.payload is None else f"{v.name} {_record(v.payload)}" if isinstance(v.payload, Record) else f"{v.name}{show(v.payload)}"
-
-
 def difference(old: State, new: State, name: str = "next") -> str | None:
     """A migration from one schema to another, or None if they are alike.
 
     A field or variant under another name is a drop and an add, as a rename can't be told from them. What a migration can't do by
-    itself (a field whose type changes, a new field without a default) is an error.
+    itself (a field whose type changes, a new field without a default) is an error. References and indexes go before fields do and
+    come after all else; sequences come first and go last.
     """
-    steps: list[str] = []
+    with declared({**old.types, **new.types}):
+        return _difference(old, new, name)
+
+
+def _index(table: str, i: Any) -> str:
+    d = N.IndexDecl(table, [(N.Path(tuple(c.split("."))), down) for c, down in i.components], i.unique, None)
+    if i.predicate is not None:
+        d.predicate = reduce(lambda a, b: N.Binary("&&", a, b), map(condition, i.predicate))
+    return index(d)
+
+
+def _reference(r: Any) -> str:
+    return f"reference {r.source} ({', '.join(r.source_fields)}) references {r.target} ({', '.join(r.target_fields)})"
+
+
+def _indexes(s: State) -> dict[str, str]:
+    return {text: n for n, t in s.tables.items() for i in t.indexes for text in [_index(n, i)]}
+
+
+def _difference(old: State, new: State, name: str) -> str | None:
+    steps = [f"add sequence {k} start {v}" for k, v in new.sequences.items() if k not in old.sequences]
+    steps += [f"drop {_reference(r)}" for r in old.references if r not in new.references]
+    before_indexes, after_indexes = _indexes(old), _indexes(new)
+    steps += [f"drop {text}" for text, n in before_indexes.items() if text not in after_indexes and n in new.tables]
     for k, t in new.types.items():
         if k not in old.types:
             if isinstance(t, Record):
-                steps.append(f"add struct {k} {_record(t)}")
+                steps.append(f"add struct {k} {kind(t)}")
             elif isinstance(t, Enum):
-                steps.append(f"add enum {k} {{{', '.join(map(_variant, t.variants))}}}")
+                steps.append(f"add enum {k} {{{', '.join(map(variant, t.variants))}}}")
             else:
                 raise QueryError("E_MIGRATION", f"an alias can't be added: {k}")
             continue
@@ -89,11 +75,11 @@ def difference(old: State, new: State, name: str = "next") -> str | None:
                 if before is None:
                     if not f.has_default:
                         raise QueryError("E_MIGRATION", f"the new field {k}.{f.name} needs a default")
-                    steps.append(f"add field {k}.{f.name}: {show(f.type)} = {literal(f.default)}")
+                    steps.append(f"add field {k}.{f.name}: {show(f.type)} = {constant(f.default, f.type)}")
                 elif before.type != f.type:
                     raise QueryError("E_MIGRATION", f"{k}.{f.name} changes from {before.type!r} to {f.type!r}; write a change with using")
                 elif f.has_default and (not before.has_default or before.default != f.default):
-                    steps.append(f"change default {k}.{f.name} = {literal(f.default)}")
+                    steps.append(f"change default {k}.{f.name} to {constant(f.default, f.type)}")
                 elif before.has_default and not f.has_default:
                     steps.append(f"drop default {k}.{f.name}")
         elif isinstance(t, Enum) and isinstance(was, Enum):
@@ -101,20 +87,29 @@ def difference(old: State, new: State, name: str = "next") -> str | None:
             for v in t.variants:
                 at = was.index(v.name)
                 if at is None:
-                    steps.append(f"add variant {k}.{_variant(v)}")
+                    steps.append(f"add variant {k}.{variant(v)}")
                 elif repr(was.variants[at].payload) != repr(v.payload):
                     raise QueryError("E_MIGRATION", f"the payload of {k}::{v.name} changes")
         elif t != was:
             raise QueryError("E_MIGRATION", f"{k} becomes another kind of type")
     for n, t in new.tables.items():
         if n not in old.tables:
-            steps.append(f"add table {n}: {t.row} {{{f' key {t.key} ' if t.key else ''}}}")
-        elif old.tables[n].row != t.row:
+            steps.append(f"add {table(n, t.row, t.key, t.generated)}")
+            continue
+        for f, how in t.generated.items():
+            if old.tables[n].generated.get(f) != how:
+                steps.append(f"change default {n}.{f} to {generator(how)}")
+        if set(old.tables[n].generated) - set(t.generated):
+            raise QueryError("E_MIGRATION", f"a generated default of {n} can't be dropped")
+        if old.tables[n].row != t.row:
             raise QueryError("E_MIGRATION", f"table {n} gets another row type")
         elif old.tables[n].key != t.key:
             steps.append(f"set key {n} {t.key}" if t.key else f"drop key {n}")
     steps += [f"drop table {n}" for n in old.tables if n not in new.tables]
     steps += [f"drop type {k}" for k in old.types if k not in new.types]
+    steps += [f"add {text}" for text in after_indexes if text not in before_indexes]
+    steps += [f"add {_reference(r)}" for r in new.references if r not in old.references]
+    steps += [f"drop sequence {k}" for k in old.sequences if k not in new.sequences]
     if not steps:
         return None
     parent = f"  parent {old.migrations[-1]['name']}\n" if old.migrations else ""

@@ -543,7 +543,7 @@ class _Work:
         if index.predicate is not None:
             b, s = Binder(self.registry()), Scope(self.source(name).columns)
             for atom in index.predicate:
-                rows = rows.filter(b.condition(_condition(atom), s))
+                rows = rows.filter(b.condition(condition(atom), s))
         return rows.select(self._key(name, tuple(c for c, _ in index.components)).alias("k"))
 
     def _unique(self, name: str, new: DataFrame, rest: DataFrame) -> None:
@@ -766,7 +766,7 @@ def _atoms(n: N.Node) -> list[list[Any]]:
     return sorted(out, key=json.dumps)
 
 
-def _condition(atom: list[Any]) -> N.Node:
+def condition(atom: list[Any]) -> N.Node:
     path = N.Path(tuple(atom[0].split(".")))
     if atom[1] in ("is_some", "is_none"):
         return N.Call(atom[1], [path])

@@ -47,6 +47,19 @@ def test_difference_leads_from_one_schema_to_the_other(spark):
         difference(a.state, changed)
 
 
+def test_difference_of_indexes_references_sequences_and_defaults(spark):
+    a, b = Store(spark), Store(spark)
+    base = "enum Mood {{ Fine\n Odd }}\nstruct P {{ id: int\n name: text\n tag: Option<text> = None{0} }}\nstruct Q {{ id: int\n p: int }}\n{1}table ps: P {{ key id }}\ntable qs: Q {{ key id{2} }}\n{3}"
+    a.run(base.format("", "create sequence old start 3\n", "", "create index ps (name)\ncreate reference qs (p) references ps (id)\n"))
+    b.run(base.format('\n  note: text = "Fine"\n  mood: Mood = Odd', "create sequence fresh start 5\n", "\n default id = next(fresh)", 'create unique index ps (name, -id) if is_some tag && name == "x"\n'))
+    text = difference(a.state, b.state)
+    assert 'note: text = "Fine"' in text and "mood: Mood = Odd" in text and "drop reference" in text and "drop sequence old" in text
+    a.run(text)
+    assert portable(a.state)["hash"] == portable(b.state)["hash"] and difference(a.state, b.state) is None
+    text = difference(b.state, State())
+    assert "drop table ps" in text and "drop sequence fresh" in text
+
+
 def test_backup_is_a_store(spark, tmp_path):
     a = Store(spark)
     a.run(OLD)
