@@ -190,7 +190,7 @@ def link_components(documents: DataFrame, k: int = 4, percent: int = 85, id_col:
     index = stored(index.join(hot, "t", "left_anti").join(alive, "r"), "index", compact=True)
 
     # their whole sets, from their texts
-    needed = stored(alive.join(classes.select("r", "doc_id", "h"), "r").select("r", "doc_id", "h"), "needed", compact=True)
+    needed = alive.join(classes.select("r", "doc_id", "h"), "r").select("r", "doc_id", "h")
     bucket = F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")
     # safe to broadcast: at most BUCKETS numbers
     some = source.withColumn("bucket", bucket).join(F.broadcast(needed.select(bucket).distinct()), "bucket", "left_semi")

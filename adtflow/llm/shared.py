@@ -31,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="adtflow-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
@@ -39,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: On a mounted disk, Hadoop without its native library starts a chmod process for each file and folder it makes, and more for the
+#: checksum files beside them; until such a process has loaded its program it counts as a second copy of the executor's memory. So
+#: tables are written in few files, and without checksum files, where the store is such a disk. Other stores aren't affected.
+RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+#: Files of a written table for each core of the cluster, at most, and of one that is small beside the input.
+FILES_PER_CORE, COMPACT_FILES_PER_CORE = 8, 2
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -60,12 +69,12 @@ def _remove_all() -> None:
 def stored(df: DataFrame, label: str, codec: str = "zstd", compact: bool = False) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors, fixes any partitioning.
 
-    compact: for tables that are small beside the input, at most two files for each core of the cluster.
+    compact: for tables that are small beside the input. What goes to one file is still computed partition by partition.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/adtflow/{label}-{uuid.uuid4().hex}"
-    out = df.coalesce(2 * spark.sparkContext.defaultParallelism) if compact else df
-    out.write.option("compression", codec).parquet(path)
+    out = df.coalesce(max(1, (COMPACT_FILES_PER_CORE if compact else FILES_PER_CORE) * spark.sparkContext.defaultParallelism))
+    out.write.options(**RAW_FILES).option("compression", codec).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
