@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from adtflow.functions.scalars import Typed
 from adtflow.lang import nodes as N
 from adtflow.lang.parser import constant
 from adtflow.plans.expressions import Binder, Scope, column
+from adtflow.recursion import Packer
 from adtflow.types import Enum, Field, List, Map, Named, Option, Record, Registry, Tuple, Type
 
 
@@ -43,6 +45,10 @@ class Rebuild:
         own, to = self.old.resolve(a), self.new.resolve(b)
         if repr(own) == repr(to) and not self.touched(a, frozenset()):
             return x
+        if self.old.recursive(a) or self.new.recursive(b):
+            if not (self.old.recursive(a) and self.new.recursive(b)):
+                raise QueryError("E_MIGRATION", f"{a!r} and {b!r} aren't both recursive; drop the field and add it")
+            return self.repacked(x, a, b)
         if isinstance(to, Option):
             if not isinstance(own, Option):
                 inner = self.value(x, a, to.of)
@@ -62,6 +68,74 @@ class Rebuild:
             return self.enum(x, own, to, name)
         raise QueryError("E_MIGRATION", f"{a!r} doesn't become {b!r} by itself; change the field with using")
 
+    def repacked(self, x: Column, a: Type, b: Type) -> Column:
+        """A column of a recursive type's bytes in the new type: every value is taken apart and built again, by Arrow batches."""
+        old, new = Packer(self.old), Packer(self.new)
+        rebuilt = self.plan(a, b, {})
+
+        @F.arrow_udf("binary")
+        def repack(values: pa.Array) -> pa.Array:
+            return pa.array([None if v is None else new.pack(b, rebuilt[0](old.unpack(a, v)[0])) for v in values.to_pylist()], pa.binary())
+
+        return repack(x)
+
+    def plan(self, a: Type, b: Type, known: dict[tuple[str, str], list]) -> list:
+        """A list of one function from encoded old values to new ones; a list, as a type's function needs itself."""
+        mark = (repr(a), repr(b))
+        if isinstance(a, Named) and mark in known:
+            return known[mark]
+        out: list = []
+        if isinstance(a, Named):
+            known[mark] = out
+        name = b.name if isinstance(b, Named) else ""
+        own, to = self.old.resolve(a), self.new.resolve(b)
+        if isinstance(own, Option) and isinstance(to, Option):
+            inner = self.plan(own.of, to.of, known)
+            double = isinstance(self.old.resolve(own.of), Option)
+            out.append(lambda v: None if v is None else (inner[0](v[0]),) if double else inner[0](v))
+        elif isinstance(own, List) and isinstance(to, List):
+            inner = self.plan(own.of, to.of, known)
+            out.append(lambda v: [inner[0](x) for x in v])
+        elif isinstance(own, Map) and isinstance(to, Map):
+            inner = self.plan(own.of, to.of, known)
+            out.append(lambda v: [(k, inner[0](x)) for k, x in v])
+        elif isinstance(own, Tuple) and isinstance(to, Tuple) and len(own.items) == len(to.items):
+            parts = [self.plan(p, q, known) for p, q in zip(own.items, to.items)]
+            out.append(lambda v: tuple(f[0](x) for f, x in zip(parts, v)))
+        elif isinstance(own, Record) and isinstance(to, Record):
+            sources: list[tuple[int, Any]] = []
+            for f in to.fields:
+                if (name, f.name) in self.e.convert:
+                    raise QueryError("E_MIGRATION", f"{f.name} lies in a recursive type, whose fields can't be computed")
+                at = next((i for i, g in enumerate(own.fields) if g.name == self.e.fields.get((name, f.name), f.name)), None)
+                if at is None and not f.has_default:
+                    raise QueryError("E_MIGRATION", f"the new field {f.name} needs a default")
+                sources.append((-1, self.new.encode(f.type, f.default)) if at is None else (at, self.plan(own.fields[at].type, f.type, known)))
+            out.append(lambda v: tuple(x if i < 0 else x[0](v[i]) for i, x in sources))
+        elif isinstance(own, Enum) and isinstance(to, Enum):
+            if any(owner == name for owner, _ in [*self.e.payloads, *self.e.dropped]):
+                raise QueryError("E_MIGRATION", f"{name} is recursive, whose variants can't be computed")
+            slots = [i for i, v in enumerate(own.variants) if v.payload is not None]
+            ways: dict[int, tuple[int, list | None]] = {}
+            for i, v in enumerate(to.variants):
+                at = own.index(self.e.variants.get((name, v.name), v.name))
+                if at is not None:
+                    ways[at] = (i, None if v.payload is None else self.plan(own.variants[at].payload, v.payload, known))
+            held = [i for i, v in enumerate(to.variants) if v.payload is not None]
+
+            def variant(v: tuple) -> tuple:
+                if v[0] not in ways:
+                    raise ValueError("E_MIGRATION: a row holds a dropped variant")
+                tag, part = ways[v[0]]
+                return (tag, *(part[0](v[1 + slots.index(v[0])]) if part and i == tag else None for i in held))
+
+            out.append(variant)
+        elif repr(own) == repr(to):
+            out.append(lambda v: v)
+        else:
+            raise QueryError("E_MIGRATION", f"{a!r} doesn't become {b!r} by itself")
+        return out
+
     def carried(self, x: Column, t: Type) -> Typed:
         """An old value for an expression, in which types have their new names."""
         new = t

@@ -142,6 +142,29 @@ select {id, label, deep, wrapped}"""
     assert [r["id"] for r in got(store, held)] == [1]
 
 
+def test_migration_rewrites_every_level(spark):
+    s = Store(spark)
+    s.run(FOLDERS)
+    s.run(
+        """migration deeper {
+  rename variant Entry.Gap to Hole
+  rename type Entry to Node
+  rename field Chain.n to number
+  add field Chain.note: text = "none"
+  add variant Node.Link {to: Option<Node> = None}
+}"""
+    )
+    rows = {r["id"]: r for r in got(s, "from disks")}
+    assert rows[1]["root"] == ("Folder", {"name": "top", "inside": [("File", {"name": "a", "size": 3}), ("Folder", {"name": "in", "inside": ["Hole"], "locked": None})], "locked": None})
+    assert rows[1]["chain"] == {"number": 1, "next": {"number": 2, "next": None, "note": "none"}, "note": "none"}
+    s.run('insert disks {id: 9, root: Link {to: Some(Hole)}, chain: {number: 5, next: Some({number: 6, note: "x"})}}')
+    assert {r["id"]: r["root"] for r in got(s, "from disks")}[9] == ("Link", {"to": "Hole"})
+    for step in ("drop variant Node.Folder", "change field Chain.number to text using n -> to_text n"):
+        with pytest.raises(Exception):
+            s.run(f"migration last {{\n parent deeper\n {step}\n}}")
+    assert len(got(s, "from disks")) == 5
+
+
 def test_limits_and_declarations(spark):
     s = Store(spark)
     s.run("struct Chain { n: int\n  next: Option<Chain> = None }\nstruct Row { id: int\n  c: Chain }\ntable t: Row { key id }")
