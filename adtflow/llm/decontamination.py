@@ -49,22 +49,17 @@ def words(text: F.Column) -> F.Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(hashes: F.Column, masks: tuple[str, ...]) -> F.Column:
-    """The hashes of all windows under each mask, mask after mask; masks have one span."""
-    span = len(masks[0])
-    starts = F.sequence(F.lit(0), F.size(hashes) - span)
-
-    def under(mask: str) -> F.Column:
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(mask), *(F.get(hashes, i + k) for k, c in enumerate(mask) if c == "1")))
-
-    return F.when(F.size(hashes) >= span, F.concat(*map(under, masks)))
-
-
 def _windows(table: DataFrame, masks: tuple[str, ...], keep: list[str]) -> DataFrame:
-    """keep, seed and start for each window and mask of a table with hashes of its words in column w."""
+    """keep, seed and start for each window and mask of a table with hashes of its words in column w; masks have one span.
+
+    Starts are exploded before the seeds are made of them, so that generated code does both row by row and a long text's windows are
+    never held at once. The outer explode keeps the optimizer from a filter on w, for which the words would be split once more.
+    """
     span = len(masks[0])
-    rows = table.withColumn("n", F.size("w") - (span - 1)).select(*keep, "n", F.posexplode(_seeds(F.col("w"), masks)).alias("p", "seed"))
-    return rows.select(*keep, "seed", (F.col("p") % F.col("n")).alias("start"))
+    starts = F.when(F.size("w") >= span, F.sequence(F.lit(0), F.greatest(F.size("w") - span, F.lit(0))))
+    rows = table.select(*keep, "w", F.explode_outer(starts).alias("start")).filter(F.col("start").isNotNull())
+    seeds = F.array(*(F.xxhash64(F.lit(m), *(F.get("w", F.col("start") + k) for k, c in enumerate(m) if c == "1")) for m in masks))
+    return rows.select(*keep, "start", F.explode(seeds).alias("seed"))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
