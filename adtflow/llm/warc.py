@@ -37,6 +37,10 @@ class ArchiveError(ValueError):
     """An archive that breaks the format: magic numbers, lengths, headers or digests."""
 
 
+#: Groups of equal payloads are broadcast up to this many (of about 100 bytes each).
+BROADCAST_ROWS = 200_000
+
+
 def _header(text: str | None) -> str:
     """A header value on one line of printable ASCII; the rest percent-encoded."""
     return re.sub(r"[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "replace")), text or "about:blank")
@@ -157,8 +161,10 @@ def parse_record(r: bytes) -> tuple[int | None, int, str, str, int | None]:
 def write_archives(pages: DataFrame) -> DataFrame:
     """A table with one binary column, archive, of all pages; each task writes its own archives.
 
-    The response to a group of equal payloads is found first, on digests alone; a group of any size is a plain join of many rows
-    with one, whose skewed partitions Spark splits.
+    The response to a group of equal payloads is found first, on digests alone, and sent to the pages where it is proven small, so that
+    no html moves; beyond that the pages are joined by digest, a group of any size being many rows to one, whose skewed partitions
+    Spark splits. Null html is an empty payload, a null URL about:blank, a null page_id the page none; repeated pages have a record
+    each; an empty table gives no archives; other columns are not read.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
     marked = slim.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
@@ -169,7 +175,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
         .filter(F.col("n") > 1)
         .select("digest", "size", "response")
     )
-    rows = marked.join(shared, ["digest", "size"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    shared = stored(shared, "shared", compact=True)
+    rows = marked.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, ["digest", "size"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (record(i, u, h.encode(), to) for b in batches for i, u, h, to in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -180,11 +187,15 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 
 def read_archives(table: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record.
+
+    A null archive holds no records; a damaged one is an ArchiveError. Repeated archives are read each time; an empty table gives no
+    rows; other columns are not read.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in b.column(0):
+            for a in b.column(0).drop_null():
                 rows = [parse_record(r) for r in read_archive(a.as_py())]
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
