@@ -241,8 +241,8 @@ select {event_id, shown}""",
     "maps": (
         """from events
 derive m = {"user": user_id, "id": event_id, "x": 7}
-select {event_id, has = contains_key m "user", lacks = contains_key m event_type, got = get m "id", none = get m "nothing", ks = keys m, vs = values m, n = length (entries m)}""",
-        "SELECT event_id, true AS has, false AS lacks, event_id AS got, NULL::BIGINT AS none, ['id', 'user', 'x'] AS ks, [event_id, user_id, 7] AS vs, 3::BIGINT AS n FROM events",
+select {event_id, has = contains_key m "user", lacks = contains_key m event_type, got = get m "id", none = get m "nothing", key = contains (keys m) "x", value = contains (values m) user_id, n = length (entries m)}""",
+        "SELECT event_id, true AS has, false AS lacks, event_id AS got, NULL::BIGINT AS none, true AS key, true AS value, 3::BIGINT AS n FROM events",
     ),
     "parse_functions": (
         """from part
@@ -283,8 +283,10 @@ derive gap = ts - @2024-01-01T00:00:00Z
 derive secs = timestamp_trunc ts "second" "Z" - @2024-01-01T00:00:00Z
 group event_type { aggregate { mean_user = avg user_id, users = sum user_id, longest = max gap, total = sum secs, n = count } }
 filter is_some longest
-select {event_type, mean_user, users, total, n}""",
-        """SELECT event_type, avg(user_id) AS mean_user, sum(user_id)::BIGINT AS users, to_microseconds(sum(epoch_us(date_trunc('second', ts)) - epoch_us(TIMESTAMP '2024-01-01'))::BIGINT) AS total, count(*) AS n FROM events GROUP BY 1""",
+select {event_type, mean_user, users, total = to_text total, n}""",
+        """SELECT event_type, mean_user, users, n, CASE WHEN t % 604800 = 0 THEN (t // 604800) || 'weeks' WHEN t % 86400 = 0 THEN (t // 86400) || 'days' WHEN t % 3600 = 0 THEN (t // 3600) || 'hours'
+  WHEN t % 60 = 0 THEN (t // 60) || 'minutes' ELSE t || 'seconds' END AS total
+  FROM (SELECT event_type, avg(user_id) AS mean_user, sum(user_id)::BIGINT AS users, sum(epoch_us(date_trunc('second', ts)) - epoch_us(TIMESTAMP '2024-01-01'))::BIGINT // 1000000 AS t, count(*) AS n FROM events GROUP BY 1)""",
     ),
     "to_text_kinds": (
         'from part | select {p_partkey, f = to_text p_retailprice, whole = to_text (int_to_float p_size), flag = to_text (p_size > 25), day = to_text @2024-02-29, at = to_text (@2024-02-29T12:00:00Z + 90seconds)}',
