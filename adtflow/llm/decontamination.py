@@ -13,7 +13,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtflow.llm.shared import stored, text_or_empty
+from adtflow.llm.shared import stored, text_or_empty, without
 
 #: Masks of one span; 1 marks a position that counts. In WINDOW words or more, one of them misses any substitutions that are allowed.
 MASKS = ("110101011", "111001011", "101110011")
@@ -137,5 +137,4 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str
     A row goes if its own text overlaps, so that rows of one id may part, and repeated rows stay or go together. Null and empty texts
     stay. Without items all rows stay; an empty table stays so.
     """
-    gone = overlaps(documents, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct()
-    return documents.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_gone_h")), "left_anti")
+    return without(documents, overlaps(documents, benchmark, id_col, text_col), id_col, text_col)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from adtflow.llm.classifier import _DOWN, _P, _P_INVERSE, _SPACE, _UP, _powers, segments
 from adtflow.llm.components import connected_components
-from adtflow.llm.shared import map_arrow, stored, text_or_empty
+from adtflow.llm.shared import map_arrow, stored, text_or_empty, without
 
 #: Hash buckets of texts that are needed again; a text outside them isn't shuffled.
 BUCKETS = 1 << 20
@@ -280,5 +280,4 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Rows repeated under one id and text stay or go together. Rows without an id go if a linked row has one.
     """
     gone = link_components(documents, k, percent, id_col, text_col).filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct()
-    return documents.join(gone, documents[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_gone_h")), "left_anti")
+    return without(documents, gone, id_col, text_col)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from adtflow.shipping import ship_package
 
-__all__ = ["BATCH_ROWS", "map_arrow", "shared_folder", "ship_package", "shuffle_partitions", "stored", "table", "text_or_empty"]
+__all__ = ["BATCH_ROWS", "map_arrow", "shared_folder", "ship_package", "shuffle_partitions", "stored", "table", "text_or_empty", "without"]
 
+#: Rows of two numbers that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch; texts may be long, so a batch of the default 10,000 rows could be gigabytes.
 BATCH_ROWS = 256
 
@@ -79,6 +81,17 @@ def stored(df: DataFrame, label: str, codec: str = "zstd", compact: bool = False
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(documents: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """documents without the rows whose id and text's hash are in gone (doc_id, h), with all columns.
+
+    Up to BROADCAST_ROWS of gone, counted first, are broadcast, so that no text moves; beyond that both sides are shuffled.
+    """
+    gone = stored(gone.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "gone", compact=True)
+    few = gone.count() <= BROADCAST_ROWS
+    same = documents[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(documents[text_col], F.lit(""))) == F.col("_gone_h"))
+    return documents.join(F.broadcast(gone) if few else gone, same, "left_anti")
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """function over each Arrow batch, one batch in memory at a time."""
 
