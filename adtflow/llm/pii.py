@@ -28,11 +28,19 @@ REACH = LENGTH // 2
 #: Windows scored, and stretches decoded, at a time.
 WINDOWS = 256
 
-_SIGN = re.compile(r"[0-9@]+|[\[({]\s?at\s?[\])}]|(?-i:A[KS]IA[0-9A-Z])|(?:passw(?:or)?d|token|secret|key)[\"']?\s?[:=]", re.I)
+#: Signs begin with these; one class of characters, which is searched for fast.
+_MARKS = re.compile(r"[0-9@\[({:=]+")
+_DATA = re.compile(r"[0-9@]")
+_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
+_LABEL = re.compile(r"(?:passw(?:or)?d|token|secret|key)[\"']?\s?\Z", re.I)
+#: Characters before : or = in which a label may stand.
+_LABEL_REACH = 12
+_KEYS = ("AKIA", "ASIA")
 _WEIGHT = np.minimum(np.arange(LENGTH), np.arange(LENGTH)[::-1]).astype(np.float32)[:, None] + 1
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: Begins with a digit, as such are searched for fast, which no other digit stands before.
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -83,13 +91,28 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def signs(text: str) -> list[tuple[int, int]]:
+    """Where digits and @ stand, (at), the : or = after a label of a secret, and the beginnings of keys that need no digit."""
+    out = []
+    for m in _MARKS.finditer(text):
+        s = m[0]
+        if _DATA.search(s) or s[-1] in "[({" and _AT.match(text, m.end() - 1) or s[0] in ":=" and _LABEL.search(text, max(0, m.start() - _LABEL_REACH), m.start()):
+            out.append(m.span())
+    for key in _KEYS:
+        at = text.find(key)
+        while at >= 0:
+            out.append((at, at + len(key)))
+            at = text.find(key, at + len(key))
+    return sorted(out)
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """The parts of a text within REACH of a sign."""
     out: list[tuple[int, int]] = []
-    for m in _SIGN.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for start, end in signs(text):
+        a, b = max(0, start - REACH), min(len(text), end + REACH)
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
@@ -159,7 +182,7 @@ def find(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]
     """Base spans, and all spans: what the tagger adds overlaps no base span."""
     out: list[tuple[list[Span], list[Span]]] = []
     for t, found in zip(texts, tagged_spans(texts, model), strict=True):
-        base = base_spans(t)
+        base = base_spans(t) if _DATA.search(t) else []
         taken, added = sorted((a, b) for _, a, b in base), []
         ends = list(accumulate((b for _, b in taken), max))
         for x in found:
