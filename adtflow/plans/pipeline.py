@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 from adtflow.errors import QueryError
 from adtflow.lang import nodes as N
 from adtflow.operators import aggregates, paging, relational
-from adtflow.plans.expressions import Binder, Local, Scope, column
-from adtflow.types import INT, Enum, List, Option, Record, Registry, Type
+from adtflow.plans.expressions import Binder, Local, Scope, column, may_raise
+from adtflow.types import INT, Decimal, Enum, List, Option, Record, Registry, Scalar, Type
 
 INNER = "__inner_"
 MAX_PAGE_KEYS = 16
@@ -106,19 +108,34 @@ class Lowering:
             if not isinstance(stage, N.Filter):
                 raise QueryError("E_EXISTS", "only filters may stand inside exists", stage.place)
             c = self.b.condition(stage.condition, inner)
+            sure = []
             for part in _conjuncts(stage.condition):
                 sides = (part.left, part.right) if isinstance(part, N.Binary) and part.op == "==" else ()
                 paths = [x for x in sides if isinstance(x, N.Path)]
                 if len(paths) == 2 and (paths[0].parts[0] == "outer") != (paths[1].parts[0] == "outer"):
-                    own = paths[1] if paths[0].parts[0] == "outer" else paths[0]
+                    own, other = reversed(paths) if paths[0].parts[0] == "outer" else paths
                     if not target.checked or _leads(target, ".".join(own.parts)):
                         correlated = True
+                    sure.append(self.wrapped_key(own, other, inner))
+                elif not may_raise(part):
+                    sure.append(self.b.condition(part, inner))
+            if may_raise(stage.condition):  # c guards what can fail by what stands before it, which Spark joins and filters by only beside it
+                c = reduce(and_, [*sure, c])
             condition = c if condition is None else condition & c
         if not correlated:
             raise QueryError("E_EXISTS", "exists needs an equality of an indexed field with outer", n.place)
         renamed = target.frame().select(*(column(c).alias(INNER + c) for c in target.columns))
         return replace(plan, frame=relational.keep_matching(plan.frame, renamed, condition, n.negated))
 
+    def wrapped_key(self, own: N.Path, other: N.Path, s: Scope) -> Column:
+        """True where two paths are equal, as a join key beside a guarded condition, which has the last word.
+
+        Were the key two plain columns, Spark would put one for the other in that condition, and so ask it of rows without a match.
+        """
+        x, y = self.b.path(own, s), self.b.path(other, s)
+        same = F.struct(x.col.alias("v")) == F.struct(y.col.alias("v"))
+        return same & x.col.isNotNull() if isinstance(self.r.resolve(x.type), (Scalar, Decimal)) else same
+
     def _derive(self, n: N.Derive, plan: Plan, s: Scope, state: dict) -> Plan:
         frame, columns = plan.frame, dict(plan.columns)
         for name, value in n.fields:

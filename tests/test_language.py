@@ -109,6 +109,24 @@ def test_filters(engine, query, want):
     assert ids(engine, query) == want
 
 
+@pytest.mark.parametrize(
+    ("condition", "want"),
+    [
+        ("book == outer.id && n * outer.id > 2", [1]),
+        ("n * outer.id > 2 && book == outer.id", [1]),
+        ("book == outer.id && 12 / (n - 1) > 5", [1]),  # the line of a book that isn't there would divide by zero
+        ("n < 9 && 6 / outer.id > 0 && outer.id == book && n + outer.id > 2", [1]),
+    ],
+)
+def test_exists_joins_by_equalities_beside_what_can_fail(engine, condition, want):
+    """Pairs are found by their keys, not by trying every row with every other; what can fail stays guarded by what stands before it."""
+    for word, wanted in (("exists", want), ("not exists", [i for i in range(1, 6) if i not in want])):
+        stage = f"filter {word} {{\n  from lines\n  filter {condition}\n}}"
+        plan = engine.query(f"from books | {stage} | select {{id}}").frame._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert ids(engine, stage) == wanted
+
+
 def value(e, expression, i=2):
     return e.query(f"from books | filter id == {i} | derive x = {expression} | select {{x}}").rows()[0]["x"]
 
